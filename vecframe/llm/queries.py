@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import packing
+from .url_filter import entry_frame, url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +24,66 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-SQL = {"op1_exact_dedup": OP1_SQL}
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+#: The dated list of op10, and its captures' clock (page n is fetched n times 3,607 s, modulo 366 days, into 2024).
+URL_LIST = [
+    ("example.net", "2024-03-01", "block"),
+    ("example.net", "2024-10-01", "remove"),
+    ("example.org", "2024-08-15", "block"),
+    ("tionsh.example.net", "2024-02-10", "block"),
+    ("tionsh.example.net", "2024-05-01", "allow"),
+    ("tionsh.example.net", "2024-09-01", "remove"),
+    ("tionsh.example.net/de/", "2024-01-20", "block"),
+    ("tionsh.example.net/en/", "2024-06-01", "block"),
+    ("tionsh.example.net/en/", "2024-07-01", "allow"),
+    ("blog.tionble.example.com", "2024-04-01", "block"),
+    ("tionble.example.com", "2024-01-01", "allow"),
+    ("m.tiontion.example.com/fr/", "2024-02-01", "block"),
+    ("casino-win.example.com", "2024-01-01", "block"),
+    ("ththan.example.com", "2024-01-15", "block"),
+    ("ththan.example.com", "2024-12-01", "remove"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(page_id * 3607, 31622400))")
+    return url_filter(table(spark, sf_dir, "pages").withColumn("fetched", fetched), entry_frame(spark, URL_LIST))
+
+
+OP10_SQL = (
+    "WITH e(key, since, action) AS (VALUES "
+    + ", ".join(f"('{k}', TIMESTAMP '{d}', '{a}')" for k, d, a in URL_LIST)
+    + r"""),
+i AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e),
+r AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 3607) % 31622400) AS fetched, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^?#]*)', 1) AS rest FROM pages),
+a AS (SELECT *, split_part(rest, '/', 1) AS authority FROM r),
+c AS (SELECT *, substr(rest, length(authority) + 1) AS path,
+ nullif(regexp_replace(regexp_replace(lower(split_part(authority, '@', -1)), ':\d*$', ''), '\.+$', ''), '') AS host FROM a),
+w AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(regexp_replace(path, '^/|[^/]*$', '', 'g'), '/'), lambda d: d <> '') AS dirs FROM c),
+k AS (
+ SELECT page_id, fetched, 1000 - n AS weight, array_to_string(labels[n:], '.') AS key FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS n FROM w WHERE host IS NOT NULL)
+ UNION ALL
+ SELECT page_id, fetched, 1000 + n, host || '/' || array_to_string(dirs[:n], '/') || '/' FROM (SELECT *, unnest(range(1, len(dirs) + 1)) AS n FROM w WHERE host IS NOT NULL)),
+m AS (SELECT page_id, k.key, i.since, i.action, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC) AS nth
+ FROM k JOIN i ON k.key = i.key AND k.fetched >= i.since AND (i.until IS NULL OR k.fetched < i.until) WHERE i.action <> 'remove')
+SELECT c.page_id, c.url, c.host, c.fetched, m.action, m.key AS matched_key, m.since AS active_since, coalesce(m.action = 'block', false) AS blocked
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1
+"""
+)
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_byte_bpe, op7_harmonic_packing, op10_url_filter)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
