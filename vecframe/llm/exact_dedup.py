@@ -1,19 +1,22 @@
 """Exact dedup: a stateful stream keeps one entry per distinct content, on disk and without expiry.
 
-The rows land once in the shared folder as (locator, doc_id, digest, size, normalised text).  A Structured Streaming
-aggregation over that landing table holds, per digest, the stable identifier (smallest doc_id), the content locator of
-the row that has it, and the number of rows; its state sits in RocksDB, has no watermark and so never expires.  Each hit
-(a row whose digest another row owns) is then checked byte by byte against the owner's content; rows that differ in
-spite of an equal digest are grouped by their bytes.  Only DataFrame, SQL and streaming operations are used.
+A landing table in the shared folder has (content locator, doc_id, digest) of each row; the locator is the row's file
+and place in it, so that contents stay where they are.  A Structured Streaming aggregation over the landing table holds,
+per digest, the stable identifier (smallest doc_id), its content locator and the number of rows; its state sits in
+RocksDB, has no watermark and so never expires.  Each hit (a row whose digest another row owns) is then checked byte by
+byte against the owner's content; rows that differ in spite of an equal digest are grouped by their bytes.  Only
+DataFrame, SQL and streaming operations are used.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, drop_path, stage, stage_path
 
+# The joins ask for a sort-merge: how many rows are copies grows with the table, and the plan stays the same at all sizes.
 #: Hits that one copy of an owner's content is compared with: hot groups are dealt out in portions of this size.
 HITS_A_COPY = 256
 #: Data that one micro-batch takes from the landing table.
@@ -24,6 +27,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
 
@@ -37,15 +41,33 @@ def normalised(text: Column) -> Column:
 
 
 class Deduplicated:
-    """What the stream found: marks (a row per row of docs) and the landed rows they speak of."""
+    """What the stream found: marks (a row per row of docs) and the located rows they speak of."""
 
-    def __init__(self, landing: DataFrame, marks: DataFrame):
-        self.landing, self.marks = landing, marks
+    def __init__(self, rows: DataFrame, marks: DataFrame):
+        self.rows, self.marks = rows, marks
 
     def kept(self) -> DataFrame:
         """The rows that stay, with the columns of docs."""
         gone = self.marks.where("not kept").select("locator")
-        return self.landing.join(gone, "locator", "left_anti").select("row.*")
+        return self.rows.join(gone, "locator", "left_anti").select("row.*")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """locator and row (all columns of docs): of plain reads of files as they are, of anything else after a copy in the shared folder."""
+
+    def plain(node) -> bool:
+        if (name := node.getClass().getSimpleName()) == "LogicalRelation":
+            return "HadoopFsRelation" in node.relation().getClass().getSimpleName() and "Parquet" in node.relation().fileFormat().toString()
+        return name in ("Project", "Filter", "SubqueryAlias") and plain(node.children().head())
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("locator")
+    if plain(docs._jdf.queryExecution().analyzed()) and "_metadata" not in [c.lower() for c in docs.columns]:
+        try:
+            return docs.select(locator, row)
+        except AnalysisException:
+            pass
+    return stage(docs.select(row), "dedup-rows").select(locator, "row")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Deduplicated:
@@ -58,14 +80,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     landing_path, state_path, out_path = (stage_path(spark, f"dedup-{k}") for k in ("landing", "state", "owners"))
     doc_id, content = F.col("row")[id_col].alias("doc_id"), normalised(F.col("row")[text_col])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select(F.monotonically_increasing_id().alias("locator"), doc_id, F.sha2(content.cast("binary"), 256).alias("digest"), "row")
-    rows.write.option("compression", "zstd").parquet(landing_path)
-    landing = spark.read.schema(rows.schema).parquet(landing_path)
+    rows = located(docs)
+    entries = rows.select("locator", doc_id, F.sha2(content.cast("binary"), 256).alias("digest"))
+    entries.write.option("compression", "zstd").parquet(landing_path)
+    landing = spark.read.schema(entries.schema).parquet(landing_path)
 
     owners = _owners(spark, landing, landing_path, state_path, out_path)
-    shared = stage(landing.select("locator", "doc_id", "digest").join(owners.where("group_size > 1"), "digest"), "dedup-shared")
-    apart = stage(_differing(landing, shared, content), "dedup-apart")
+    shared = stage(landing.join(owners.where("group_size > 1").hint("merge"), "digest"), "dedup-shared")
+    apart = stage(_differing(rows, shared, content), "dedup-apart")
     if not apart.isEmpty():  # digests agree and bytes do not: the bytes decide
         second = apart.groupBy("digest", "content").agg(F.min(_order("doc_id", "locator")).alias("own2"), F.count(F.lit(1)).alias("size2"))
         gone = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
@@ -73,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         shared = shared.join(again, "locator", "left").join(gone, "digest", "left")
         size = F.coalesce("size2", F.col("group_size") - F.coalesce("gone", F.lit(0)))
         shared = shared.select("locator", "doc_id", "digest", F.coalesce("own2", "own").alias("own"), size.alias("group_size"))
-    marks = landing.select("locator", "doc_id", "digest").join(shared.select("locator", "own", "group_size"), "locator", "left")
+    marks = landing.join(shared.select("locator", "own", "group_size").hint("merge"), "locator", "left")
     alone = F.col("own").isNull()
     marks = marks.select(
         "locator",
@@ -83,7 +105,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (alone | (F.col("own.locator") == F.col("locator"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-    return Deduplicated(landing, marks)
+    return Deduplicated(rows, marks)
 
 
 def _order(doc_id: str, locator: str) -> Column:
@@ -114,11 +136,11 @@ def _owners(spark, landing: DataFrame, landing_path: str, state_path: str, out_p
     return seen.groupBy("digest").agg(F.min("own").alias("own"), F.max("group_size").alias("group_size"))
 
 
-def _differing(landing: DataFrame, shared: DataFrame, content: Column) -> DataFrame:
+def _differing(rows: DataFrame, shared: DataFrame, content: Column) -> DataFrame:
     """Hits whose bytes are not those of their owner, although the digests agree."""
     portions = F.ceil(F.col("group_size") / HITS_A_COPY)
-    full = shared.select("locator", "own", "group_size").join(landing, "locator").select("locator", "doc_id", "digest", "own", "group_size", content.alias("content"))
+    full = stage(shared.hint("merge").join(rows.select("locator", content.alias("content")), "locator"), "dedup-contents")
     is_own = F.col("locator") == F.col("own.locator")
     hits = full.where(~is_own).select("locator", "doc_id", "digest", "content", F.pmod(F.xxhash64("locator"), portions).alias("part"))
     owned = full.where(is_own).select("digest", F.col("content").alias("owned"), F.explode(F.sequence(F.lit(0).cast("long"), portions - F.lit(1).cast("long"))).alias("part"))
-    return hits.join(owned, ["digest", "part"]).where(F.col("content") != F.col("owned")).select("locator", "doc_id", "digest", "content")
+    return hits.join(owned.hint("merge"), ["digest", "part"]).where(F.col("content") != F.col("owned")).select("locator", "doc_id", "digest", "content")
