@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import table
+from .common import stage_path, table
 from .exact_dedup import exact_dedup
 from .packing import packing
 from .url_filter import entry_frame, url_filter
+from .warc import read_warc, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,23 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stage_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j:
+ substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (j // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (j % 4)))::BIGINT & 31), 1)), '') AS payload_digest FROM h),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id < last THEN last END AS refers_to FROM m
+"""
+
+
 #: The dated list of op10, and its captures' clock (page n is fetched n times 3,607 s, modulo 366 days, into 2024).
 URL_LIST = [
     ("example.net", "2024-03-01", "block"),
@@ -85,5 +103,5 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1
 )
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_byte_bpe, op7_harmonic_packing, op10_url_filter)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_byte_bpe, op7_harmonic_packing, op8_warc, op10_url_filter)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
