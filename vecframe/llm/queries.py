@@ -10,6 +10,9 @@ from .bpe import bpe
 from .common import stage_path, table
 from .exact_dedup import exact_dedup
 from .packing import packing
+from .quality import quality
+from .quality_rules import quality_rules
+from .toxicity import toxicity
 from .url_filter import entry_frame, url_filter
 from .warc import read_warc, write_warc
 
@@ -25,6 +28,14 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
@@ -56,6 +67,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
 """
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The dated list of op10, and its captures' clock (page n is fetched n times 3,607 s, modulo 366 days, into 2024).
 URL_LIST = [
     ("example.net", "2024-03-01", "block"),
@@ -103,5 +118,5 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1
 )
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_byte_bpe, op7_harmonic_packing, op8_warc, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_toxicity, op3_byte_bpe, op5_quality, op7_harmonic_packing, op8_warc, op9_quality_rules, op10_url_filter)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
