@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .common import stage_path, table
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_scoring
 from .packing import packing
 from .quality import quality
 from .quality_rules import quality_rules
@@ -46,6 +47,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -118,5 +123,5 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1
 )
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_toxicity, op3_byte_bpe, op5_quality, op7_harmonic_packing, op8_warc, op9_quality_rules, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_toxicity, op3_byte_bpe, op5_quality, op6_lm_scoring, op7_harmonic_packing, op8_warc, op9_quality_rules, op10_url_filter)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
