@@ -10,6 +10,7 @@ from .bpe import bpe
 from .common import stage_path, table
 from .exact_dedup import exact_dedup
 from .lm_scoring import lm_scoring
+from .ngram_join import ngram_join
 from .packing import packing
 from .quality import quality
 from .quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, per_cent=90)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -123,5 +128,5 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.nth = 1
 )
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_toxicity, op3_byte_bpe, op5_quality, op6_lm_scoring, op7_harmonic_packing, op8_warc, op9_quality_rules, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_toxicity, op3_byte_bpe, op4_ngram_join, op5_quality, op6_lm_scoring, op7_harmonic_packing, op8_warc, op9_quality_rules, op10_url_filter)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
