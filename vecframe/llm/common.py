@@ -88,12 +88,9 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def free_name(taken: list[str], wish: str) -> str:
-    """wish, with underscores in front until no column is called so (names are compared without case)."""
-    low = {t.lower() for t in taken}
-    while wish.lower() in low:
-        wish = f"_{wish}"
-    return wish
+def carried(docs: DataFrame, carry: bool) -> list[Column]:
+    """All columns of docs as one struct, out of the way of an operator's own names; or nothing."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
 
 
 def workers_of(spark: SparkSession) -> int:

@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import slices
 from .classify import teaching
-from .common import held_out, stage
+from .common import carried, held_out, stage
 
 #: Features, ridge penalty for each teaching row, bins of the raw score, seed: fixed values of the method.
 FEATURES, RIDGE, BINS, SEED = 256, 1e-4, 2000, 20240101
@@ -61,16 +62,17 @@ def statistics(text: str) -> list[float]:
     return [np.log1p(n), np.log1p(len(lines)), min(sum(map(len, counts)) / kinds, 50.0), kinds / n, max(counts.values()) / n, pairs, len(set(lines)) / len(lines), np.log1p(n / len(lines)), capital / n, odd / n, *shares.tolist()]
 
 
-def tabulated(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array<double>) of (doc_id, text)."""
+def tabulated(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, x array<double>), and with carry row, of (doc_id, text)."""
+    extra = ["doc_id", *["row"] * carry]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 x = [statistics(t or "") for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(x, pa.list_(pa.float64()))], names=[*extra, "x"])
 
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return docs.mapInArrow(work, T.StructType([*[docs.schema[c] for c in extra], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 class Kernel:
@@ -192,21 +194,22 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return Model(kernel, weights, (np.array(points), np.array(levels)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, held_out, score, predicted.
+def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """A row per row of docs: doc_id, held_out, score, predicted; with carry, the row of docs as a struct too.
 
     Null text counts as empty; an empty text's statistics are all 0, and it gets the score of that vector.  A null id is
     scored like any other and not held out.  Repeated rows get equal scores.  An empty table gives an empty result;
     without labels the score follows no text.  Only the texts enter a score.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    table = stage(tabulated(rows), "quality-statistics")
-    shipped = rows.sparkSession.sparkContext.broadcast(fit(table, labels, label))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *carried(docs, carry))
+    table = stage(tabulated(rows, carry), "quality-statistics")
+    shipped = rows.sparkSession.sparkContext.broadcast(fit(table.select("doc_id", "x"), labels, label))
+    extra = ["doc_id", *["row"] * carry]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(model.score(_matrix(batch)))], names=[*extra, "score"])
 
-    out = table.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    out = table.mapInArrow(work, T.StructType([*[rows.schema[c] for c in extra], T.StructField("score", T.DoubleType())]))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *extra[1:])

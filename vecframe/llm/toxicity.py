@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import slices
 from .classify import bounded, logistic, sigmoid, teaching
-from .common import held_out
+from .common import carried, held_out
 from .kneser_ney import Ratio
+from .memory import Memory
 
 #: Documents of each class that the models count at most (half as many calibrate): a bound of the fit sample, which also bounds the models.
 FIT_DOCUMENTS = 3000
@@ -28,25 +30,11 @@ STRONGEST, CLEAR, LIMIT = (1, 2, 3, 5, 8), 2.0, 4.0
 FEATURES = len(STRONGEST) + 4
 #: From here a document counts as toxic.
 THRESHOLD = 0.3
-#: Words a worker remembers the evidence of.
+#: Words a worker remembers the evidence of in each generation.
 MAX_WORDS = 250_000
 
 
-class _Words(dict):
-    def __init__(self, ratio: Ratio):
-        super().__init__()
-        self.ratio = ratio
-
-    def __missing__(self, word: str) -> float:
-        r = self.ratio.word(word)
-        if len(word) <= 64:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = r
-        return r
-
-
-def evidence(words: _Words, text: str) -> list[float]:
+def evidence(words: Memory, text: str) -> list[float]:
     """The document's features, normalised for its length.  All 0 for an empty text.
 
     The mean over all words; means over its strongest distinct words; what exceeds CLEAR by the distinct word, and the
@@ -88,11 +76,11 @@ def _counted(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int, int]]:
     return sorted(zip(*[rows.column(c).to_pylist() for c in ("word", "n0", "n1")], strict=True))
 
 
-def _evidence_of(docs: DataFrame, shipped, extra: list[str], schema: str) -> DataFrame:
+def _evidence_of(docs: DataFrame, shipped, extra: list[str], schema: T.StructType | str) -> DataFrame:
     """The columns extra and evidence array<double>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(shipped.value)
+        words = Memory(shipped.value.word, MAX_WORDS)
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [evidence(words, t or "") for t in batch.column("text").to_pylist()]
@@ -121,21 +109,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_documents:
     return Model(ratio, mean, scale, logistic((x - mean) / scale, y, ridge=0.05))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
-    """A row per row of docs: doc_id, held_out, score, predicted and the evidence behind the score.
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, carry: bool = False) -> DataFrame:
+    """A row per row of docs: doc_id, held_out, score, predicted and the evidence behind the score; with carry, the row of docs as a struct too.
 
     Null text counts as empty; an empty text has evidence 0 and gets the score of that.  A null id is scored like any
     other and not held out.  Repeated rows get equal scores.  An empty table gives an empty result; without labels every
     score is 0.5.  Only the texts enter a score.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    model = fit(rows, labels, label, fit_documents)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *carried(docs, carry))
+    model = fit(rows.select("doc_id", "text"), labels, label, fit_documents)
     shipped = rows.sparkSession.sparkContext.broadcast(model.ratio)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = _evidence_of(rows, shipped, ["doc_id"], f"doc_id {kind}, evidence array<double>")
+    extra = ["doc_id", *["row"] * carry]
+    out = _evidence_of(rows, shipped, extra, T.StructType([*[rows.schema[c] for c in extra], T.StructField("evidence", T.ArrayType(T.DoubleType()))]))
     z = F.lit(float(model.weights[-1]))
     for i, (m, s, w) in enumerate(zip(model.mean, model.scale, model.weights[:-1], strict=True)):
         z = z + (F.element_at("evidence", i + 1) - float(m)) * float(w / s)
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
-    out = out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), score.alias("score"), "evidence")
-    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence")
+    out = out.withColumn("score", score)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence", *extra[1:])
