@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -31,12 +33,21 @@ def test_any_text(text):
 
 def test_forgetting_states_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 5)
-    monkeypatch.setattr(bpe, "MAX_CHUNKS", 2)
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 1)
     ours = bpe.Codec(RANKS, P.PATTERN)
     text = "Incomprehensibilities undoubtedly necessitate reconsideration zzxqj"
     assert ours.encode(text).tolist() == THEIRS.encode_ordinary(text)
 
 
+def test_pairs_fit_as_the_merges_say():
+    m, r = OURS.machine, random.Random(3)
+    tokens = [t for t in range(50256)]
+    common = [RANKS[x] for x in (b"a", b"aa", b"aaaa", b" the", b"the", b"ing", b"ation", b" ", b"--", b"----", b"th", b"e", b"er")]
+    for _ in range(20000):
+        a, b = r.choice(common if r.random() < 0.3 else tokens), r.choice(common if r.random() < 0.3 else tokens)
+        assert m.fits(a, b) == ([RANKS[x] for x in m.merge(m.token[a] + m.token[b])] == [a, b]), (m.token[a], m.token[b])
+
+
 @given(st.binary(max_size=30), st.integers(1, 5))
 def test_utf8_machine_is_pythons(data, step):
     m = bpe.Utf8Machine()

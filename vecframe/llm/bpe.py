@@ -12,7 +12,7 @@ Decoding is streaming: ids turn into bytes, and a UTF-8 state machine turns byte
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: States and memorised chunks a worker holds before it starts anew: bounds of memory, not of results.
-MAX_STATES = 100_000
-MAX_CHUNKS = 200_000
+from .memory import Memory, still, taken
+
+#: States a worker holds before it starts anew, and chunks it remembers in each generation: bounds of memory, not of results.
+MAX_STATES = 80_000
+MAX_PAIRS = 400_000
+MAX_CHUNKS = 900_000
 #: Rows, and characters, of one output batch.
 BATCH_ROWS, BATCH_CHARS = 256, 4_000_000
 
@@ -37,50 +40,84 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _State:
+    """What is undecided: the last certain token, the bytes after it, and how their prefixes may be reached."""
+
+    __slots__ = ("back", "end", "last", "live", "next", "pending")
+
+    def __init__(self, last: int, pending: bytes, back: list[tuple[int, int] | None], live: list[int]):
+        self.last, self.pending = last, pending
+        #: for each prefix of pending its last token and where that begins; None where no chain from the certain part leads
+        self.back = back
+        #: places where a token may begin that is not complete yet, the end of pending among them
+        self.live = live
+        self.next: dict[int, tuple] = {}
+        self.end: tuple[int, ...] | None = None
+
+
 class Transducer:
     """Bytes to token ids, one byte a move."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.sorted = ranks, sorted(ranks)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
+        #: bytes that are a token or begin one: twice the token (-1: none) plus whether a longer token begins so
+        self.known = {b[:k]: 2 * ranks.get(b[:k], -1) + 1 for b in ranks for k in range(1, len(b))}
+        for b, i in ranks.items():
+            self.known.setdefault(b, 2 * i)
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, dict[int, list[tuple[bytes, int]]]] = {0: {}, -1: {}}
         self._start_anew()
 
     def _start_anew(self) -> None:
-        self.keys: list[tuple[int, bytes]] = [(-1, b"")]
-        self.ids = {self.keys[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.start = _State(-1, b"", [(-1, 0)], [0])
+        self.states = {(-1, b""): self.start}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The definition: join the leftmost pair of lowest rank until none is left."""
+    def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """The definition: join the leftmost pair of lowest rank until none, or no more than least parts, are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at the token's left (0) or right (-1) end while it is made: parts in order, with the rank that ends each."""
+        if (edge := self.edges[side].get(token)) is None:
+            whole, edge, until = self.token[token], [], 1 << 60
+            while True:
+                edge.append((whole, until))
+                if len(whole) == 1:
+                    break
+                until, whole = self.ranks[whole], self.merge(whole, 2)[side]
+            edge.reverse()
+            self.edges[side][token] = edge
+        return edge
 
     def fits(self, a: int, b: int) -> bool:
-        """Token b may follow a."""
+        """Token b may follow a: while both are made, no pair across their border comes first."""
         if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= 4 * MAX_STATES:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return ok
-
-    def _chains(self, last: int, pending: bytes) -> list[tuple[int, int] | None]:
-        """For each prefix of pending: its last token and where that begins; None where no chain from the certain part leads."""
-        back: list[tuple[int, int] | None] = [(last, 0)]
-        for end in range(1, len(pending) + 1):
-            found = None
-            for begin in range(end):
-                if (came := back[begin]) is not None and (t := self.ranks.get(pending[begin:end])) is not None and (came[0] < 0 or self.fits(came[0], t)):
-                    found = (t, begin)
+            left, right, ranks = self._edge(a, -1), self._edge(b, 0), self.ranks
+            i = j = 0
+            ok = True
+            while True:
+                (x, x_until), (y, y_until) = left[i], right[j]
+                across = ranks.get(x + y)
+                if across is not None and across < x_until and across <= y_until:
+                    ok = False
                     break
-            back.append(found)
-        return back
+                if x_until == y_until == 1 << 60:
+                    break
+                if x_until <= y_until:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = ok
+        return ok
 
     @staticmethod
     def _walk(back: list[tuple[int, int] | None], at: int) -> list[int]:
@@ -91,50 +128,67 @@ class Transducer:
             way.append(at)
         return way
 
-    def _prefixes_token(self, s: bytes) -> bool:
-        """Some token is longer than s and begins with it."""
-        i = bisect_right(self.sorted, s)
-        return i < len(self.sorted) and self.sorted[i].startswith(s)
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, pending = self.keys[state]
-        pending += bytes((byte,))
-        back, n = self._chains(last, pending), len(pending)
-        live = [j for j in range(n + 1) if back[j] is not None and (j == n or self._prefixes_token(pending[j:]))]
-        shared = set(self._walk(back, live[0]))
-        for j in live[1:]:
-            shared &= set(self._walk(back, j))
-        cut = max(shared)
-        out = [back[e][0] for e in self._walk(back, cut)[:-1]][::-1]
-        key = (out[-1] if out else last, pending[cut:])
-        if (to := self.ids.get(key)) is None:
-            if len(self.keys) >= MAX_STATES:
+    def _extend(self, pending: bytes, back: list[tuple[int, int] | None], live: list[int], begin: int) -> list[int]:
+        """Reads pending from begin on; back grows by each prefix, and the places that live afterwards are returned."""
+        known, pairs = self.known, self.pairs
+        for n in range(begin + 1, len(pending) + 1):
+            found, still = None, []
+            for j in live:
+                if (code := known.get(pending[j:n])) is None:
+                    continue
+                if found is None and code >= 0:
+                    last, t = back[j][0], code >> 1
+                    if last < 0 or ((ok := pairs.get((last, t))) is None and self.fits(last, t)) or ok:
+                        found = (t, j)
+                if code & 1:
+                    still.append(j)
+            still.append(n)
+            back.append(found)
+            live = still
+        return live
+
+    def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+        pending, back = state.pending + bytes((byte,)), list(state.back)
+        live = self._extend(pending, back, state.live, len(state.pending))
+        # the furthest place that all ways to live places pass
+        cut, ways = live[0], [self._walk(back, j) for j in live]
+        for cut in ways[0]:
+            if all(cut in w for w in ways):
+                break
+        out = tuple([back[e][0] for e in self._walk(back, cut)[:-1]][::-1])
+        key = (out[-1] if out else state.last, pending[cut:])
+        if (to := self.states.get(key)) is None:
+            if len(self.states) >= MAX_STATES:
+                for old in self.states.values():
+                    old.next.clear()  # states refer to each other in circles
                 self._start_anew()
-            to = self.ids.setdefault(key, len(self.keys))
-            if to == len(self.keys):
-                self.keys.append(key)
-            return to, tuple(out)  # the move is stored by the next visitor: its own state may be gone
-        self.moves[state << 8 | byte] = to, tuple(out)
-        return to, tuple(out)
-
-    def _end(self, state: int) -> tuple[int, ...]:
-        last, pending = self.keys[state]
-        back = self._chains(last, pending)
-        self.ends[state] = out = tuple(back[e][0] for e in self._walk(back, len(pending))[:-1])[::-1]
-        return out
+            rest = [(key[0], 0), *((b[0], b[1] - cut) if b and b[1] >= cut else None for b in back[cut + 1 :])]
+            to = self.states[key] = _State(*key, rest, [j - cut for j in live])
+        state.next[byte] = step = to, out
+        return step
+
+    def _ended(self, state: _State, rest: bytes) -> list[int]:
+        """The tokens still to come when rest is all that follows: the moves that are not determinised, taken at once."""
+        pending, back = state.pending + rest, list(state.back)
+        self._extend(pending, back, state.live, len(state.pending))
+        return [back[e][0] for e in self._walk(back, len(pending))[:-1]][::-1]
 
     def run(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
+        state = self.start
+        for i, byte in enumerate(piece):
+            if (step := state.next.get(byte)) is None:
+                # A move that was wanted before is made for good; a first visitor goes on without.
+                state.next[byte] = ()
+                return out + self._ended(state, piece[i:])
+            if not step:
                 step = self._move(state, byte)
-                moves = self.moves
             state = step[0]
-            out.extend(step[1])
-        end = self.ends.get(state)
-        out.extend(self._end(state) if end is None else end)
+            if step[1]:
+                out += step[1]
+        if state.end is None:
+            state.end = tuple(self._ended(state, b""))
+        out += state.end
         return out
 
 
@@ -183,55 +237,58 @@ class Utf8Machine:
         self.need, self.low, self.high = 0, 0x80, 0xBF
 
 
-class _Chunks(dict):
-    """Memory of the transducer: a chunk of text to its ids, packed."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for match in self.codec.pattern.findall(chunk):
-            piece = match.encode()
-            known = self.codec.machine.ranks.get(piece)
-            ids.extend(self.codec.machine.run(piece) if known is None else (known,))
-        packed = np.array(ids, "<i4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= MAX_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
 class Codec:
     """Encoder and decoder for one vocabulary and split pattern."""
 
     #: White space other than single blanks and line ends inside the text: there the pattern's matches may cross a cut.
-    odd_space = regex.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+    odd_space = regex.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.machine = regex.compile(pattern), Transducer(ranks)
-        self.chunks = _Chunks(self)
+        self.chunks = Memory(None, MAX_CHUNKS)
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes[i] = b
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids; special tokens' strings are ordinary text."""
-        chunks = self.chunks
+    def _cut(self, text: str) -> list[str]:
+        """Stretches that begin and end where matches do: before each single blank and around each single line end one begins."""
         if self.odd_space.search(text):
-            return np.frombuffer(b"".join([chunks[m] for m in self.pattern.findall(text)]), "<i4")
-        # Before each single blank or line end a match begins, so that the pieces between can be encoded on their own.
-        lines = text.split("\n")
-        packed: list[bytes] = []
-        for k, line in enumerate(lines):
-            if k:
-                packed.append(chunks["\n"])
-            head, *rest = line.split(" ")
-            packed.append(chunks[head])
-            packed += [chunks[" " + w] for w in rest]
-        return np.frombuffer(b"".join(packed), "<i4")
+            return self.pattern.findall(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _packed(self, piece: str) -> bytes:
+        data = piece.encode()
+        known = self.machine.ranks.get(data)
+        ids = self.machine.run(data) if known is None else (known,)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _learn(self, chunks: list[str], made: dict[str, bytes]) -> dict[str, bytes]:
+        """Adds the ids of new chunks to made: by match, where a chunk has several."""
+        split = [(c, self.pattern.findall(c)) for c in chunks]
+        several = [(c, ms) for c, ms in split if len(ms) > 1]
+        matches = list({m for _, ms in several for m in ms}.difference(made))
+        inner = self.chunks.found(matches)
+        for m in [*[c for c, ms in split if len(ms) < 2], *[m for m in matches if m not in inner]]:
+            if m not in inner:
+                inner[m] = made[m] = self._packed(m) if m else b""
+        inner |= made
+        for c, ms in several:
+            made[c] = b"".join(taken(inner, ms))
+        return made
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; special tokens' strings are ordinary text."""
+        cut = [self._cut(t) for t in texts]
+        wanted = list(set().union(*cut))
+        known = self.chunks.found(wanted)
+        if len(known) < len(wanted):
+            made = self._learn([c for c in wanted if c not in known], {})
+            self.chunks.learn({c: b for c, b in made.items() if len(c) <= 64})
+            known |= made
+        return [np.frombuffer(b"".join(taken(known, c)), "<i4") for c in cut]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of chunks of ids, as far as each chunk completes it."""
@@ -247,12 +304,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _LOADED[path, pattern]
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, most_rows: int = BATCH_ROWS, most_chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and characters each."""
     size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     begin = chars = 0
     for i, n in enumerate(size):
-        if i > begin and (i - begin >= BATCH_ROWS or chars + n > BATCH_CHARS):
+        if i > begin and (i - begin >= most_rows or chars + n > most_chars):
             yield batch.slice(begin, i - begin)
             begin, chars = i, 0
         chars += n
@@ -272,8 +329,9 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True, id_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            for batch in slices(whole, "text", 1000, 8_000_000):
+                with still():
+                    ids = c.encode_all([t or "" for t in batch.column("text").to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
                 flat = np.concatenate(ids) if ids else np.empty(0, "i4")
                 columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]

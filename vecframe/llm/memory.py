@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from operator import itemgetter
 from typing import Any
 
 
@@ -25,9 +28,47 @@ class Memory(dict):
 
     def put(self, key: str, value: Any) -> None:
         if len(self) >= self.generation:
-            self.older = dict(self)
-            self.clear()
+            self._age()
         self[key] = value
 
-    def lacks(self, keys: set[str]) -> list[str]:
-        return [k for k in keys if k not in self and k not in self.older]
+    def _age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+    def found(self, keys: list[str]) -> dict[str, Any]:
+        """What is known of the keys."""
+        out = {k: v for k, v in zip(keys, map(self.get, keys)) if v is not None}
+        if self.older and len(out) < len(keys):
+            back = [k for k in keys if k not in out]
+            again = {k: v for k, v in zip(back, map(self.older.get, back)) if v is not None}
+            self.learn(again)
+            out |= again
+        return out
+
+    def learn(self, values: dict[str, Any]) -> None:
+        if len(self) + len(values) > self.generation:
+            self._age()
+        self.update(values)
+
+    def all(self, keys: list[str]) -> tuple:
+        """The values of several keys."""
+        return taken(self, keys)
+
+
+def taken(values: dict[str, Any], keys: list[str]) -> tuple:
+    """The values of several keys, fast."""
+    if len(keys) < 2:
+        return tuple([values[k] for k in keys])
+    return itemgetter(*keys)(values)
+
+
+@contextmanager
+def still() -> Iterator[None]:
+    """No garbage collection of cycles meanwhile: it would look through the whole memory again and again, and finds nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
