@@ -24,7 +24,7 @@ SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
 #: A document passes the classifier from here.
 THRESHOLD = 0.5
 #: Bits of a hash, lengths of character n-grams, documents of each label in the fit sample (half as many calibrate), passes over it, step.
-BITS, CHARACTERS, FIT_DOCUMENTS, EPOCHS, STEP = 18, (3, 4), 1000, 8, 0.5
+BITS, CHARACTERS, FIT_DOCUMENTS, EPOCHS, STEP = 18, (3, 4), 600, 10, 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,21 +96,23 @@ def _sampled(docs: DataFrame, sample: DataFrame) -> list[tuple[int, bool, np.nda
     """y, calibrates, table places and their values of each sampled document, in the order of ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, values = [], []
-            for text in batch.column("text").to_pylist():
-                _, data, _, codes = read(text)
-                found = [f for f in families(data, codes) if len(f)]
-                at, where = np.unique(np.concatenate(found), return_inverse=True) if found else (np.empty(0, "i4"), None)
-                places.append(at)
-                values.append(np.bincount(where, np.concatenate([np.full(len(f), 1 / len(f)) for f in found])).astype("f4") if found else np.empty(0, "f4"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("calibrates"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["doc_id", "y", "calibrates", "places", "mass"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                places, values = [], []
+                for text in batch.column("text").to_pylist():
+                    _, data, _, codes = read(text)
+                    found = [f for f in families(data, codes) if len(f)]
+                    at, where = np.unique(np.concatenate(found), return_inverse=True) if found else (np.empty(0, "i4"), None)
+                    places.append(at.tobytes())
+                    values.append((np.bincount(where, np.concatenate([np.full(len(f), 1 / len(f)) for f in found])) if found else np.empty(0)).astype("f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("calibrates"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "calibrates", "places", "mass"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(sample, "doc_id").select("doc_id", "text", "y", "calibrates").mapInArrow(work, f"doc_id {kind}, y int, calibrates boolean, places array<int>, mass array<float>")
-    rows = rows.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("y", "calibrates", "places", "mass")])  # repeated rows teach once
-    table = rows.toArrow().sort_by("doc_id")
-    return [(y, c, p.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)) for y, c, p, v in zip(table.column("y").to_pylist(), table.column("calibrates").to_pylist(), table.column("places"), table.column("mass"), strict=True)]
+    table = docs.join(sample, "doc_id").select("doc_id", "text", "y", "calibrates").mapInArrow(work, f"doc_id {kind}, y int, calibrates boolean, places binary, mass binary").toArrow()
+    seen: dict = {}  # rows with one id teach once
+    for doc, *rest in sorted(zip(*[table.column(c).to_pylist() for c in ("doc_id", "y", "calibrates", "places", "mass")], strict=True)):
+        seen.setdefault(doc, rest)
+    return [(y, c, np.frombuffer(p, "i4"), np.frombuffer(v, "f4")) for y, c, p, v in seen.values()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_documents: int = FIT_DOCUMENTS) -> Model:
