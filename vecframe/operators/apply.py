@@ -19,7 +19,7 @@ def mapply(f: Callable[..., Column], *arrays: Column) -> Column:
     """f over elements side by side, shorter arrays repeated; no elements if one array has none."""
     n = F.greatest(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])
     some = F.least(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])
-    made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: f(*[F.element_at(a, (i % F.size(a) + 1).cast("int")) for a in arrays]))
+    made = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: f(*[F.try_element_at(a, (F.try_mod(i, F.size(a)) + 1).cast("int")) for a in arrays]))
     return F.when(some > 0, made).otherwise(F.slice(made, 1, 0))
 
 
