@@ -202,3 +202,23 @@ def test_streams(spark, tmp_path):
     f = Frame(events)
     want = {(r.window.start, r.event_type): (round(r.s, 6), r.n, r.hi) for r in events.groupBy(F.window("ts", "1 day"), "event_type").agg(fo.sum_(f["value"]).alias("s"), fo.length().alias("n"), fo.max_(f["value"]).alias("hi")).collect()}
     assert got and all(want[k] == x for k, x in got.items())
+
+
+def test_attributes_and_registry(spark):
+    from vecframe.functions import registry
+    from vecframe.lang.run import evaluate
+    from vecframe.operators import attributes as at
+
+    df = spark.createDataFrame([(0,), (1,), (5,), (None,)], "g long")
+    df = at.set_levels(at.set_attr(df, "g", unit="m", dim=[2, 2]), "g", ["a", "b"])
+    assert at.attr(df, "g", "unit") == "m" and at.attr(at.strip(df, "g"), "g", "unit") is None and at.attr(at.set_attr(df, "g", unit=None), "g", "unit") is None
+    assert [r.l for r in at.label(df, "g", "l").collect()] == ["a", "b", None, None]
+    assert at.names(at.set_names(df, ["h"])) == ["h"] and at.dim(df) == (4, 1)
+    with pytest.raises(ValueError):
+        at.check_dim(4, [3, 2])
+    registry.register("twice", lambda x: x * 2, 1)
+    assert evaluate(Frame(df), "sum(twice(g), na.rm = TRUE)") == 12
+    with pytest.raises(TypeError):
+        registry.call("twice", 1, 2)
+    with pytest.raises(NameError):
+        registry.call("nothing")

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..functions import vec as v
 from ..functions.vec import Vec, lift
 from ..operators import folds as fo
@@ -116,7 +117,7 @@ class Program:
                 args[1:] = [int(a) if isinstance(a, float) else a for a in args[1:]]
             out = _MAPS[c.function](lift(args[0]), *args[1:], **whole)
         else:
-            raise NameError(c.function)
+            out = registry.call(c.function, *args)
         return out if mask is None else Selected(out, mask)
 
     def _fold(self, c: Call) -> Any:
