@@ -23,23 +23,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .memory import Memory, keeps, still, taken, using
 
-#: Words a worker remembers the ids of: a bound of memory.
-MAX_WORDS = 250_000
+#: Words, and pieces of words, that a worker remembers in each generation: a bound of memory.
+MAX_WORDS = 900_000
 #: Classes above this one share its bins: rests are short there, and a bin of class k takes k of them.
 MAX_CLASS = 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _LOADED: dict[str, WordTokenizer] = {}
+keeps("packing", _LOADED.clear)
 
 
 class WordTokenizer:
     """Ids of the tokenizers library, remembered by word.
 
-    The vocabulary's rules look at each run without white space on its own, as long as a text has only characters whose
-    case and kind all Unicode versions agree on; other texts go to the library whole.
+    The vocabulary's rules cut a text into pieces (below) and look at each on its own.  That cut is made here for texts
+    that have only characters whose case and kind all Unicode versions agree on; other texts go to the library whole.
     """
 
+    #: Fixed value: the cut of the vocabulary's own rules.
+    piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     unusual = regex.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u0148\\u014a-\\u017e]")
 
     def __init__(self, path: str):
@@ -48,21 +53,49 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(None, MAX_WORDS), Memory(None, MAX_WORDS)
+        vocabulary = self.library.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _pieces(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces; new ones go to the library together, as words of one text."""
+        known = self.pieces.found(words)
+        new = [p for p in words if p not in known]
+        made: dict[str, bytes] = {}
+        for begin in range(0, len(new), 5000):
+            part = new[begin : begin + 5000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                made.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
+            else:  # the vocabulary has no end for some letter: each piece on its own
+                made.update((p, np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
+        self.pieces.learn(made)
+        return known | made
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words; of new ones from the ids of their pieces."""
+        words = list(words)
+        known = self.words.found(words)
+        if len(known) < len(words):
+            new = [w for w in words if w not in known]
+            plain = [w for w in new if w.isalpha()]  # one piece each
+            mixed = [w for w in new if not w.isalpha()]
+            split = [self.piece.findall(w) for w in mixed]
+            pieces = self._pieces(list(set(plain).union(*split)))
+            made = dict(zip(plain, map(pieces.__getitem__, plain)))
+            made.update(zip(mixed, [b"".join(taken(pieces, ps)) for ps in split]))
+            self.words.learn(made)
+            known |= made
+        return known
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.words
-        split = [None if self.unusual.search(t) else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in known})
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = list({w for ws in split if ws for w in ws})
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        split = [None if self.unusual.search(t) else t.lower().split() for t in texts]
+        known = self._words(set().union(*[ws for ws in split if ws]))
         whole = iter(self.library.encode_batch_fast([t for t, ws in zip(texts, split, strict=True) if ws is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4") if ws is None else np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
+        return [np.array(next(whole).ids, "<u4") if ws is None else np.frombuffer(b"".join(taken(known, ws)), "<u4") for ws in split]
 
 
 class Packer:
@@ -135,6 +168,7 @@ def packing(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(SCHEMA).fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("packing")
         if vocabulary not in _LOADED:
             _LOADED[vocabulary] = WordTokenizer(vocabulary)
         tokenizer = _LOADED[vocabulary]
@@ -166,8 +200,9 @@ def packing(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2
         for whole in batches:
             if arrow is None:
                 arrow = [pa.field("doc_id", whole.schema.field("doc_id").type), *[pa.field(f.name, pa.int64()) for f in schema.fields[1:7]], *[pa.field("ids", pa.list_(pa.int32()))] * keep_ids]
-            for batch in slices(whole, "text"):
-                ids = tokenizer.ids([t or "" for t in batch.column("text").to_pylist()])
+            for batch in slices(whole, "text", 400, 4_000_000):
+                with still():
+                    ids = tokenizer.ids([t or "" for t in batch.column("text").to_pylist()])
                 for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                     x = np.concatenate([x, tail])
                     waiting[number] = [doc_id, len(x), len(x)]
