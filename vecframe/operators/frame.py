@@ -100,7 +100,7 @@ class Frame:
         w = self._in_range(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumns({"_own": agg("_x").over(w), "_na": F.count_if(F.col("_x").isNull()).over(w)})
         df = df.join(parts if by else F.broadcast(parts), [r, *by])
-        joined = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "min": F.least, "max": F.greatest, "any": lambda a, b: a | b, "all": lambda a, b: a & b}[how]("_before" and F.col("_before"), F.col("_own"))
+        joined = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "min": F.least, "max": F.greatest, "any": lambda a, b: a | b, "all": lambda a, b: a & b}[how](F.col("_before"), F.col("_own"))
         value = F.when(F.col("_na") + F.col("_nas_before") == 0, F.when(F.col("_before").isNull(), F.col("_own")).otherwise(joined))
         return Frame(df.withColumn(out, value).drop(r, "_x", "_own", "_na", "_before", "_nas_before"), self.order)
 
