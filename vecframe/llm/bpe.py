@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import Memory, still, taken
+from .memory import Memory, keeps, still, taken, using
 
 #: States a worker holds before it starts anew, and chunks it remembers in each generation: bounds of memory, not of results.
 MAX_STATES = 80_000
@@ -33,6 +33,7 @@ MAX_CHUNKS = 900_000
 BATCH_ROWS, BATCH_CHARS = 256, 4_000_000
 
 _LOADED: dict[tuple[str, str], Codec] = {}
+keeps("bpe", _LOADED.clear)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -327,9 +328,10 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True, id_
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("bpe")
         c = codec(vocabulary, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", 1000, 8_000_000):
+            for batch in slices(whole, "text", 400, 4_000_000):
                 with still():
                     ids = c.encode_all([t or "" for t in batch.column("text").to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")

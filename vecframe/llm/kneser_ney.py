@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 CONTEXT, DISCOUNT = 5, 0.75
 #: Letters that the shared model weighs as beside a class's own counts.
 SHARED = 16.0
+ONE, FEW = (1 << 32) - 1, (1 << 20) - 1
 BEGIN, END = "\x02", "\x03"
 
 
@@ -59,32 +60,34 @@ class Ratio:
     """
 
     def __init__(self, counts: Iterable[tuple[str, int, int]]):
-        """counts: word, count in class 0, count in class 1."""
-        own: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        kinds: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+        """counts: word, count in class 0, count in class 1.
+
+        Pairs of counts are held as one number each, with 32 bits for class 1: there are many.
+        """
+        own: dict[str, int] = defaultdict(int)
+        total: dict[str, int] = defaultdict(int)
+        kinds: dict[str, int] = defaultdict(int)  # letters after a context: of class 0, of class 1, of either; 20 bits each
         for word, n0, n1 in counts:
+            n = n0 << 32 | n1
             for h, w in contexts(word):
-                g, t, k = own[h + w], total[h], kinds[h]
-                k[2] += not (g[0] or g[1])
-                for c, n in ((0, n0), (1, n1)):
-                    if n:
-                        k[c] += not g[c]
-                        g[c] += n
-                        t[c] += n
+                own[h + w] += n
+        for g, n in own.items():
+            h = g[:-1]
+            total[h] += n
+            kinds[h] += (n > ONE) << 40 | (n & ONE > 0) << 20 | 1
         shared = Shared((g[:-1], g[-1]) for g in own)
         self.seen: dict[str, float] = {}
         self.unseen: dict[str, float] = {}
         for h, t in total.items():
             k = kinds[h]
-            back = [(DISCOUNT * k[c] + SHARED) / (t[c] + SHARED) for c in (0, 1)]
-            self.unseen[h] = math.log(back[1] / back[0])
+            self.unseen[h] = math.log((DISCOUNT * (k >> 20 & FEW) + SHARED) / ((t & ONE) + SHARED) / ((DISCOUNT * (k >> 40) + SHARED) / ((t >> 32) + SHARED)))
         for g, n in own.items():
             h = g[:-1]
             t, k = total[h], kinds[h]
-            p = (sum(n) - DISCOUNT + DISCOUNT * k[2] * shared.probability(h[1:], g[-1])) / sum(t)
-            both = [(max(n[c] - DISCOUNT, 0) + (DISCOUNT * k[c] + SHARED) * p) / (t[c] + SHARED) for c in (0, 1)]
-            r = math.log(both[1] / both[0])
+            p = ((n >> 32) + (n & ONE) - DISCOUNT + DISCOUNT * (k & FEW) * shared.probability(h[1:], g[-1])) / ((t >> 32) + (t & ONE))
+            p1 = (max((n & ONE) - DISCOUNT, 0) + (DISCOUNT * (k >> 20 & FEW) + SHARED) * p) / ((t & ONE) + SHARED)
+            p0 = (max((n >> 32) - DISCOUNT, 0) + (DISCOUNT * (k >> 40) + SHARED) * p) / ((t >> 32) + SHARED)
+            r = math.log(p1 / p0)
             if abs(r - self.unseen[h]) > 1e-3:
                 self.seen[g] = r
 

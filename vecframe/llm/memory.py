@@ -9,6 +9,25 @@ from operator import itemgetter
 from typing import Any
 
 
+_RELEASES: dict[str, Callable[[], None]] = {}
+_USER: list[str] = [""]
+
+
+def keeps(user: str, release: Callable[[], None]) -> None:
+    """An operator says how to let go of what it keeps in a worker from task to task."""
+    _RELEASES[user] = release
+
+
+def using(user: str) -> None:
+    """A task of an operator begins: what others kept in this worker goes, so that operators don't add up."""
+    if _USER[0] != user:
+        _USER[0] = user
+        for name, release in _RELEASES.items():
+            if name != user:
+                release()
+        gc.collect()
+
+
 class Memory(dict):
     """Values by key, made on first use.  Holds two generations of so many keys each: what the younger one needs again survives."""
 

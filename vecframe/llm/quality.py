@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .classify import teaching
 from .common import carried, held_out, stage
+from .memory import using
 
 #: Features, ridge penalty for each teaching row, bins of the raw score, seed: fixed values of the method.
 FEATURES, RIDGE, BINS, SEED = 256, 1e-4, 2000, 20240101
@@ -67,6 +68,7 @@ def tabulated(docs: DataFrame, carry: bool = False) -> DataFrame:
     extra = ["doc_id", *["row"] * carry]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for whole in batches:
             for batch in slices(whole, "text"):
                 x = [statistics(t or "") for t in batch.column("text").to_pylist()]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .classify import bounded, logistic, sigmoid, teaching
+from .memory import using
 
 #: Fixed values of the base rules: symbols, words of a window, fewest words, largest share (per cent) of repeated words.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -157,6 +158,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality_rules")
         model = shipped.value
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -21,7 +21,7 @@ from .bpe import slices
 from .classify import bounded, logistic, sigmoid, teaching
 from .common import carried, held_out
 from .kneser_ney import Ratio
-from .memory import Memory
+from .memory import Memory, using
 
 #: Documents of each class that the models count at most (half as many calibrate): a bound of the fit sample, which also bounds the models.
 FIT_DOCUMENTS = 3000
@@ -80,6 +80,7 @@ def _evidence_of(docs: DataFrame, shipped, extra: list[str], schema: T.StructTyp
     """The columns extra and evidence array<double>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("toxicity")
         words = Memory(shipped.value.word, MAX_WORDS)
         for whole in batches:
             for batch in slices(whole, "text"):
