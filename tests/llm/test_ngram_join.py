@@ -59,14 +59,14 @@ def test_sets_that_link_share_a_part_and_the_trie_finds_all_links(n, per_cent):
         assert [len(s) for s in sets] == [len(s) for s in brute_sets(ts, n)]
         bound = Bound(per_cent)
         ids = [i for i, s in enumerate(sets) if len(s)]
-        parts = {i: set(part_hashes(sets[i], bound).tolist()) for i in ids}
+        turns = [{i: set(part_hashes(sets[i], bound, t).tolist()) for i in ids} for t in (0, 1)]
         want = set()
         for a in ids:
             for b in ids:
                 common = len(set(sets[a].tolist()) & set(sets[b].tolist()))
                 if a < b and 100 * common >= per_cent * (len(sets[a]) + len(sets[b]) - common):
                     want.add((a, b))
-                    assert parts[a] & parts[b]
+                    assert all(parts[a] & parts[b] for parts in turns)
         assert {(min(x), max(x)) for x in trie_links(sets, ids, ids, bound, all_links=True)} == want
 
 
@@ -74,7 +74,7 @@ def test_sets_that_link_share_a_part_and_the_trie_finds_all_links(n, per_cent):
 def test_table_against_all_pairs(spark, monkeypatch, n, per_cent):
     from vecframe.llm import ngram_join as module
 
-    monkeypatch.setattr(module, "BLOCK_SETS", 5)  # so that blocks are cut into portions
+    monkeypatch.setattr(module, "BLOCK_SETS", 5)  # so that blocks have a second turn and are cut into portions
     rows = list(enumerate(texts(9, 150)))
     rows += [(1000, rows[3][1]), (1001, None), (1002, ""), (1003, " \t\n"), (1004, "one two"), (1005, "One  TWO"), (1006, "É é"), (1007, "long words here " * 3000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int").repartition(3)

@@ -11,6 +11,11 @@ from .common import stage, unstage
 MOST_ROUNDS = 60
 
 
+def _apart(table: DataFrame) -> DataFrame:
+    """Deals rows out by another key than a join's, so that the join deals both sides anew and can split a hot key."""
+    return table.repartition(F.xxhash64("a"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), where root is the smallest node that can be reached.
 
@@ -22,12 +27,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for number in range(1, MOST_ROUNDS):
         # large star: over all neighbours
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = _apart(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(large.where("a <> b").distinct(), f"cc-large-{number}")
         # small star: over smaller neighbours
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(_apart(least).hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"cc-{number}")
         size = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()
         before, after = size(e), size(new)

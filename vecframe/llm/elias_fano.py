@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], "u1")
 #: place of the k-th one of each byte
@@ -48,16 +49,20 @@ class EliasFano:
         return high << self.low_bits | low.astype("i8")
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """A sorted sequence for transport: byte planes of its gaps, compressed."""
-    import pyarrow as pa
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers for transport: their byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view("u1").reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
-    gaps = np.diff(values.astype("u8"), prepend=np.uint64(0))
-    return pa.compress(np.ascontiguousarray(gaps.view("u1").reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
+def unpack(data: bytes, n: int, kind: str = "i8") -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), "u1").reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-def unpack_sorted(data: bytes, n: int) -> np.ndarray:
-    import pyarrow as pa
 
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), "u1").reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("u8"), dtype="u8")
+def pack_sorted(values: np.ndarray) -> bytes:
+    """A sorted sequence for transport: its gaps."""
+    return pack(np.diff(values.astype("u8"), prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(data, n, "u8"), dtype="u8")

@@ -85,8 +85,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     entries.write.option("compression", "zstd").parquet(landing_path)
     landing = spark.read.schema(entries.schema).parquet(landing_path)
 
+    # Dealt out anew, the owners meet the landing table in a join of its own stage, which can split a hot digest.
     owners = _owners(spark, landing, landing_path, state_path, out_path)
-    shared = stage(landing.join(owners.where("group_size > 1").hint("merge"), "digest"), "dedup-shared")
+    shared = stage(landing.join(owners.where("group_size > 1").repartition(F.xxhash64("digest")).hint("merge"), "digest"), "dedup-shared")
     apart = stage(_differing(rows, shared, content), "dedup-apart")
     if not apart.isEmpty():  # digests agree and bytes do not: the bytes decide
         second = apart.groupBy("digest", "content").agg(F.min(_order("doc_id", "locator")).alias("own2"), F.count(F.lit(1)).alias("size2"))

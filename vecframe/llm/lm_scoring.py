@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import held_out, stage_path, workers_of
-from .elias_fano import EliasFano, pack_sorted, unpack_sorted
+from .elias_fano import EliasFano, pack, pack_sorted, unpack, unpack_sorted
+from .memory import using
 
 #: Tokens a task counts before it combines, and entries a merge holds before it compacts.
 COUNT_TOKENS, MERGE_ENTRIES = 2_000_000, 8_000_000
@@ -128,8 +129,7 @@ def _runs(counter: _Counter, part_of, parts: int) -> Iterator[pa.RecordBatch]:
     for p in range(parts):
         at = order[bounds[p] : bounds[p + 1]]
         if len(at):
-            c = pa.compress(np.ascontiguousarray(counts[at].astype("u8").view("u1").reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(at)]), pa.array([pack_sorted(keys[at])], pa.binary()), pa.array([c], pa.binary())], schema=_RUN_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(at)]), pa.array([pack_sorted(keys[at])], pa.binary()), pa.array([pack(counts[at].astype("i8"))], pa.binary())], schema=_RUN_TYPES)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,8 +142,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 if part is not None:
                     yield part, *counter.total()
                 part, counter = p, _Counter(MERGE_ENTRIES)
-            planes = np.frombuffer(pa.decompress(batch.column("counts")[i].as_py(), decompressed_size=8 * n, codec="zstd", asbytes=True), "u1").reshape(8, n)
-            counter.add(unpack_sorted(batch.column("ids")[i].as_py(), n), np.ascontiguousarray(planes.T).reshape(-1).view("i8"))
+            counter.add(unpack_sorted(batch.column("ids")[i].as_py(), n), unpack(batch.column("counts")[i].as_py(), n))
     if part is not None:
         yield part, *counter.total()
 
@@ -364,6 +363,7 @@ def lm_scoring(docs: DataFrame, mod: int = 5, rest: int = 1, id_col: str = "doc_
     sizes, total, start = np.diff(trie.first).tolist(), trie.total, trie.words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lm_scoring")
         own = Trie(uri, parts, sizes, total)
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -1,9 +1,9 @@
 """N-gram Jaccard join by prefix trees.
 
 Equal n-gram sets are one class.  A first pass finds blocks: sets of similar size are cut by hash into so many parts that
-any two similar enough must agree in at least one whole part (pigeonhole), and sets that share a part are in one block,
-as are those that are linked so through others.  Every link therefore lies within a block, and blocks are about as small
-as the groups of near copies themselves.  In a block the sets, in one order of n-grams, are stored in a prefix tree: its
+any two similar enough must agree in most of at least one part (pigeonhole), and sets that agree so are in one block, as
+are those that are linked so through others.  Every link therefore lies within a block, and blocks are about as small as
+the groups of near copies themselves.  In a block the sets, in one order of n-grams, are stored in a prefix tree: its
 shared beginnings share their partial overlaps with all sets that are looked up, and a branch is left as soon as the
 overlap can't reach the bound with what remains, or all that is below belongs to the component of the asking set.
 Blocks of more than BLOCK_SETS sets are cut into portions whose pairs are joined by different tasks.
@@ -12,6 +12,7 @@ Blocks of more than BLOCK_SETS sets are cut into portions whose pairs are joined
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,20 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import stage, workers_of
 from .components import connected_components
+from .elias_fano import pack, pack_sorted, unpack, unpack_sorted
 from .lm_scoring import _LOWER, _POWERS, _SPACE, _mix
+from .memory import using
 
 #: Sets, and n-grams, of one portion of a block.
-BLOCK_SETS, BLOCK_GRAMS = 96, 200_000
+BLOCK_SETS, BLOCK_GRAMS = 250, 400_000
+#: Keys that a task combines before it sends them on.
+RUN_PARTS = 3_000_000
+#: One part in so many is spare; ways of dealing out sets that leave too many places empty.
+SPARE_PARTS, DEALS = 12, 6
+#: Differences in a part, and places of a part, of each turn.
+TURNS = ((1, 4), (2, 6))
+#: Ranges of keys that meet on their own: at least so many, so that small and large tables repeat edges alike.
+LEAST_BUCKETS = 256
 
 
 def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -71,27 +82,52 @@ class Bound:
     def band(self, size: int) -> int:
         return int(np.searchsorted(self._edges, size, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the n-grams in which two sets that link, the larger of this band, can differ."""
-        most = 2 * (self.edges[band + 1] - 1)
-        return most * (100 - self.p) // (100 + self.p) + 1
+    def differences(self, band: int) -> int:
+        """N-grams in which two sets that link, the larger of this band, can differ at most."""
+        return 2 * (self.edges[band + 1] - 1) * (100 - self.p) // (100 + self.p)
 
     def overlap(self, a: np.ndarray | int, b: np.ndarray | int):
         """Least intersection of sets of these sizes that link."""
         return -((-self.p * (a + b)) // (100 + self.p))
 
 
-def part_hashes(grams: np.ndarray, bound: Bound) -> np.ndarray:
-    """Hashes of the set's parts, for its own band and the next."""
+def part_hashes(grams: np.ndarray, bound: Bound, turn: int = 0) -> np.ndarray:
+    """Keys of the set, for its own band and the next: any two sets that link have one in common.
+
+    Hashing deals the n-grams out to places, some to a part.  There are so many parts that in one of them a pair that links
+    differs in no more than slack n-grams, so that all its places but slack agree: a key for each choice of places to
+    leave out.  Keys of empty places say nothing and are left out.  SPARE_PARTS more parts make up for that, unless both
+    sets of a pair have more parts with such keys than those; such sets are dealt out anew, in up to DEALS ways.  Each
+    turn deals independently, and later turns allow for more differences in larger parts: more keys, of more n-grams.
+    """
+    slack, places = TURNS[turn]
+    leave = np.array(list(combinations(range(places), slack)))
     out = []
     k = bound.band(len(grams))
     for band in (k, k + 1):
-        m = bound.parts(band)
-        place = ((_mix(grams ^ np.uint64(band * 0x9E3779B9 + 1)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype("i8")
-        order = np.argsort(place, kind="stable")
-        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(_mix(grams[order] + np.uint64(band)), dtype="u8")])
-        ends = np.searchsorted(place[order], np.arange(m + 1))
-        out.append(_mix((sums[ends[1:]] - sums[ends[:-1]]) ^ _mix(np.arange(m).astype("u8") * np.uint64(1 << 20) + np.uint64(band + 7))))
+        most = bound.differences(band)
+        if not most:
+            out.append(_mix(_mix(grams).sum(dtype="u8", keepdims=True) + np.uint64(band)))
+            continue
+        needed = most // (slack + 1) + 1
+        spare = needed // SPARE_PARTS
+        m = needed + spare
+        for deal in range(DEALS):
+            seed = np.uint64((turn * 4096 + band) * 64 + deal)
+            place = ((_mix(grams ^ _mix(np.full(1, seed + np.uint64(1)))) >> np.uint64(32)) * np.uint64(places * m) >> np.uint64(32)).astype("i8")
+            filled = np.bincount(place, minlength=places * m).reshape(m, places)
+            order = np.argsort(place, kind="stable")
+            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(_mix(grams[order] + seed), dtype="u8")])
+            ends = np.concatenate([[0], np.cumsum(filled.reshape(-1))])
+            content = (sums[ends[1:]] - sums[ends[:-1]]).reshape(m, places)
+            tag = _mix(np.arange(m * len(leave), dtype="u8").reshape(m, len(leave)) * np.uint64(1 << 32) + seed)
+            keys = _mix((content.sum(1, dtype="u8", keepdims=True) - content[:, leave].sum(2, dtype="u8")) ^ tag)
+            some = filled.sum(1, keepdims=True) > filled[:, leave].sum(2)
+            poor = int((~some).any(1).sum()) > spare
+            last = poor and deal == DEALS - 1
+            out.append(keys.reshape(-1) if last else keys[some])
+            if not poor:
+                break
     return np.concatenate(out)
 
 
@@ -209,19 +245,105 @@ def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound:
     return found
 
 
-def _spread(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """(doc_id, n_shingles, digest, parts) of each row."""
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, digest) of each row; the digest is null for the empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], n)
+                sets = shingles(_bytes(batch), n)
                 digest = [(_mix(x).sum(dtype="u8") ^ np.uint64(len(x))).astype("u8").tobytes() + _mix(x + np.uint64(3)).sum(dtype="u8").tobytes() if len(x) else None for x in sets]
-                parts = [part_hashes(x, bound).view("i8") if len(x) else np.zeros(0, "i8") for x in sets]
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("i4")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["doc_id", "n_shingles", "digest", "parts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary")
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary, parts array<long>")
+
+def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct parts in order with the least document of each, and edges (packed in rows) of the others to it."""
+    order = np.lexsort((doc, part))
+    part, doc = part[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, "i8")
+    least = np.repeat(doc[first], np.diff(np.append(first, len(part))))
+    more = least != doc
+    edges = np.unique(np.column_stack([least[more], doc[more]]), axis=0) if more.any() else np.zeros((0, 2), "i8")
+    return part[first], doc[first], edges
+
+
+_RUN = "bucket int, n long, parts binary, docs binary"
+_RUN_TYPES = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("parts", pa.binary()), ("docs", pa.binary())])
+
+
+def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
+    """Edges (a, b) of (doc_id, text, block), from the least document of a block that has a key to the others.
+
+    Tasks combine first: of a part that several of a task's documents have only the least travels on, the others become
+    edges on the spot.  So no part, however common, sends more than one entry a task; entries travel in packed runs.
+    """
+    tasks = workers_of(docs.sparkSession)
+    buckets = max(LEAST_BUCKETS, tasks)
+
+    def edge_rows(edges: np.ndarray) -> pa.RecordBatch:
+        """Edges travel as one run too."""
+        a, b = (pa.array([pack(np.ascontiguousarray(edges[:, k]))], pa.binary()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array([int(edges[0, 1]) % buckets], pa.int32()), pa.array([-len(edges)], pa.int64()), a, b], schema=_RUN_TYPES)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("ngram_join")
+        parts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            part, doc, edges = _stars(np.concatenate(parts), np.concatenate(ids))
+            if len(edges):
+                yield edge_rows(edges)
+            bounds = np.searchsorted(((part >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8"), np.arange(buckets + 1))
+            for k in range(buckets):
+                a, z = bounds[k], bounds[k + 1]
+                if a < z:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z - a], pa.int64()), pa.array([pack_sorted(part[a:z])], pa.binary()), pa.array([pack(doc[a:z])], pa.binary())], schema=_RUN_TYPES)
+            parts.clear()
+            ids.clear()
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for doc, block, grams in zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), shingles(_bytes(batch), n), strict=True):
+                    if len(grams):
+                        p = _mix(part_hashes(grams, bound, turn) + _mix(np.full(1, block, "i8").view("u8")))
+                        parts.append(p)
+                        ids.append(np.full(len(p), doc))
+                        size += len(p)
+                if size > RUN_PARTS:
+                    yield from flush()
+                    size = 0
+        if size:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, ids = None, [], []
+
+        def edges() -> pa.RecordBatch:
+            found = _stars(np.concatenate(parts), np.concatenate(ids))[2] if parts else np.zeros((0, 2), "i8")
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            for k, m, p, d in zip(*[batch.column(c).to_pylist() for c in ("bucket", "n", "parts", "docs")], strict=True):
+                if m < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack(p, -m)), pa.array(unpack(d, -m))], names=["a", "b"])
+                    continue
+                if k != bucket:
+                    yield edges()
+                    bucket, parts, ids = k, [], []
+                parts.append(unpack_sorted(p, m))
+                ids.append(unpack(d, m))
+        yield edges()
+
+    runs = docs.where("doc_id is not null").mapInArrow(spread, _RUN)
+    return runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 def _block_links(rows: DataFrame, n: int, bound: Bound) -> DataFrame:
@@ -266,14 +388,14 @@ def ngram_join(docs: DataFrame, n: int = 3, per_cent: int = 90, id_col: str = "d
     """
     bound = Bound(per_cent)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sets = stage(_spread(rows, n, bound), "join-sets")
+    sets = stage(_sets(rows, n), "join-sets")
     classes = stage(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own")).where("own is not null"), "join-classes")
-
-    # Blocks: sets that share a part with the least id of those that have it.
-    parts = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("part", "a")
-    near = parts.join(shared.hint("merge"), "part").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    blocks = connected_components(near)
+    first = connected_components(_near(rows.withColumn("block", F.lit(0).cast("long")), n, bound))
+    # Chains of chance agreements end where those of an independent second turn do: large blocks fall apart.
+    large = stage(first.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root"), "join-large")
+    again = rows.join(first.join(large.hint("merge"), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("block")).hint("merge"), "doc_id")
+    second = connected_components(_near(again, n, bound, turn=1))
+    blocks = first.join(large.hint("merge"), "root", "left_anti").select("node", "root").unionByName(second)
 
     # Of each class one set goes to its block's tasks.
     owners = classes.select(F.col("own").alias("node"))
