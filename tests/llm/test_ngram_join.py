@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from vecframe.llm.components import connected_components
-from vecframe.llm.ngram_join import Bound, ngram_join, part_hashes, shingles, trie_links
+from vecframe.llm.ngram_join import Bound, Union, _forest, ngram_join, part_hashes, shingles, trie_links
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -89,6 +90,17 @@ def test_odd_rows(spark):
     assert ngram_join(docs.limit(0)).count() == 0
 
 
+def test_forest():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 5, 80):
+        edges = r.integers(0, 60, (n, 2))
+        got = _forest(edges)
+        union = Union(60)
+        for a, b in edges:
+            union.join(int(a), int(b))
+        assert sorted(map(tuple, got.tolist())) == sorted((union.root(i), i) for i in {*edges.reshape(-1).tolist()} if union.root(i) != i)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(500, 501), (501, 500), (7, 7), (None, 3)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(50)]

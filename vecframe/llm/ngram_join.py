@@ -273,6 +273,26 @@ def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return part[first], doc[first], edges
 
 
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """Edges from the least node of each component to its others: no more than nodes, with the same components."""
+    if not len(edges):
+        return edges
+    nodes, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    name = np.arange(len(nodes))
+    while True:
+        least = np.minimum(name[a], name[b])
+        new = name.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == name).all():
+            break
+        name = new
+    more = np.flatnonzero(name != np.arange(len(nodes)))
+    return np.column_stack([nodes[name[more]], nodes[more]])
+
+
 _RUN = "bucket int, n long, parts binary, docs binary"
 _RUN_TYPES = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("parts", pa.binary()), ("docs", pa.binary())])
 
@@ -300,7 +320,7 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             part, doc, edges = _stars(np.concatenate(parts), np.concatenate(ids))
             if len(edges):
-                yield edge_rows(edges)
+                yield edge_rows(_forest(edges))
             bounds = np.searchsorted(((part >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8"), np.arange(buckets + 1))
             for k in range(buckets):
                 a, z = bounds[k], bounds[k + 1]
@@ -327,7 +347,7 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
         bucket, parts, ids = None, [], []
 
         def edges() -> pa.RecordBatch:
-            found = _stars(np.concatenate(parts), np.concatenate(ids))[2] if parts else np.zeros((0, 2), "i8")
+            found = _forest(_stars(np.concatenate(parts), np.concatenate(ids))[2]) if parts else np.zeros((0, 2), "i8")
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
