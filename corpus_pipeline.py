@@ -18,6 +18,8 @@ from vecframe.llm.toxicity import toxicity
 
 #: Near copies: words of a shingle, and per cent of the union that two documents share at least.
 SHINGLE_WORDS, SIMILAR_PER_CENT = 5, 80
+#: Words that packing remembers here, where its workers serve other stages too.
+REMEMBER = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as pieces of training sequences, with their ids."""
-    return packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing(docs, public_tokenizers.path("word_bpe_49k.json"), remember=REMEMBER)
 
 
 STAGES = [

@@ -27,9 +27,9 @@ from .lm_scoring import _LOWER, _POWERS, _SPACE, _mix
 from .memory import using
 
 #: Sets, and n-grams, of one portion of a block.
-BLOCK_SETS, BLOCK_GRAMS = 250, 400_000
+BLOCK_SETS, BLOCK_GRAMS = 250, 200_000
 #: Keys that a task combines before it sends them on.
-RUN_PARTS = 3_000_000
+RUN_PARTS = 1_000_000
 #: One part in so many is spare; ways of dealing out sets that leave too many places empty.
 SPARE_PARTS, DEALS = 12, 6
 #: Differences in a part, and places of a part, of each turn.
@@ -212,7 +212,7 @@ def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound:
     root = tree(placed, list(dict.fromkeys(right)))
     found: list[tuple[int, int]] = []
     union = Union(max([*left, *right]) + 1)
-    step = max(1, 32_000_000 // max(1, len(grams)))
+    step = max(1, 8_000_000 // max(1, len(grams)))
     for begin in range(0, len(left), step):
         asking = np.array(left[begin : begin + step])
         has = np.zeros((len(grams), len(asking)), "u1")

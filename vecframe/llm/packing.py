@@ -47,13 +47,13 @@ class WordTokenizer:
 
     unusual = regex.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u0148\\u014a-\\u017e]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words, self.pieces = Memory(None, MAX_WORDS), Memory(None, MAX_WORDS)
+        self.words, self.pieces = Memory(None, remember), Memory(None, remember)
         vocabulary = self.library.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -158,11 +158,11 @@ class Packer:
                 room += left == m
 
 
-def packing(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def packing(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, remember: int = MAX_WORDS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) the piece's ids.
 
     A document is its ids and the end id, so that null and empty texts are one token each.  Repeated rows and rows with
-    a null id are documents of their own.  sequence_id has the input split in its upper bits.  An empty table gives an
+    a null id are documents of their own.  remember bounds a worker's memory of words, not the result.  sequence_id has the input split in its upper bits.  An empty table gives an
     empty result.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(SCHEMA).fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids])
@@ -170,7 +170,7 @@ def packing(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("packing")
         if vocabulary not in _LOADED:
-            _LOADED[vocabulary] = WordTokenizer(vocabulary)
+            _LOADED[vocabulary] = WordTokenizer(vocabulary, remember)
         tokenizer = _LOADED[vocabulary]
         packer = Packer(capacity)
         first = TaskContext.get().partitionId() << 40

@@ -31,7 +31,7 @@ FEATURES = len(STRONGEST) + 4
 #: From here a document counts as toxic.
 THRESHOLD = 0.3
 #: Words a worker remembers the evidence of in each generation.
-MAX_WORDS = 250_000
+MAX_WORDS = 100_000
 
 
 def evidence(words: Memory, text: str) -> list[float]:
