@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..functions.vec import Vec
 
 #: Aggregates of one pass: more would make generated code too long to compile.
 BATCH = 200
+#: Rows of a block of tall_qr, about: a block is in memory at once, and each sends one small R to the driver.
+BLOCK_ROWS = 65_536
 
 
 def conformable(ok: bool) -> None:
@@ -132,3 +137,64 @@ def tall_r(df: DataFrame, columns: list[str]) -> np.ndarray:
         for j in range(i, d):
             g[i, j] = g[j, i] = row[f"g{i}_{j}"]
     return np.linalg.cholesky(g).T
+
+
+def tall_qr(df: DataFrame, row: str, cells: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, np.ndarray]:
+    """Householder decomposition of all rows of a tall matrix (a row name and an array a row): long thin Q, and R.
+
+    Rows are dealt by name to blocks.  Each is decomposed by reflections (LAPACK's), the R of all blocks are stacked and
+    decomposed on the driver, and a block's rows of Q are its own Q times its share of the stack's.  Columns may depend on
+    each other and rows may be fewer than columns.  R's diagonal is not negative.  Rows of unequal lengths, and rows or
+    elements that are NA, are an error.
+    """
+    rows = df.select(F.col(row).cast("bigint").alias("i"), F.col(cells).cast("array<double>").alias("cells"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("d")).first()
+    spark, d = df.sparkSession, max(size["d"] or 0, 0)
+    if not d:
+        return spark.createDataFrame([], "i bigint, j bigint, v double"), np.zeros((0, 0))
+    blocks = -(-size["n"] // block_rows)
+    # Both passes see a block's rows in one order.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("bigint")).repartition(blocks, "block").sortWithinPartitions("block", "i", "cells")
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number, row names and matrix of each block, from rows (block, i, cells) that come sorted by block."""
+        block, names, cells = None, [], []
+        for batch in batches:
+            lists = batch.column("cells")
+            if lists.null_count or lists.flatten().null_count or (np.diff(lists.offsets.to_numpy()) != d).any():
+                raise ValueError("matrices are not conformable")
+            number, name, x = batch.column("block").to_numpy(), batch.column("i").to_numpy(), lists.flatten().to_numpy().reshape(-1, d)
+            bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                if a == z:
+                    continue
+                if number[a] != block:
+                    if names:
+                        yield block, np.concatenate(names), np.concatenate(cells)
+                    block, names, cells = int(number[a]), [], []
+                names.append(name[a:z])
+                cells.append(x[a:z])
+        if names:
+            yield block, np.concatenate(names), np.concatenate(cells)
+
+    def reduce_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, a in blocks_of(batches):
+            r = np.linalg.qr(a, mode="r")
+            yield pa.RecordBatch.from_pydict({"block": [block], "r": [r.astype("f8").tobytes()]})
+
+    parts = {r["block"]: np.frombuffer(r["r"]).reshape(-1, d) for r in dealt.mapInArrow(reduce_, "block long, r binary").collect()}
+    q, r = np.linalg.qr(np.concatenate([parts[b] for b in sorted(parts)]))
+    sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+    q, r = q * sign, r * sign[:, None]
+    ends = np.cumsum([len(parts[b]) for b in sorted(parts)])
+    shares = spark.sparkContext.broadcast({b: q[end - len(parts[b]) : end] for b, end in zip(sorted(parts), ends, strict=True)})
+    k = q.shape[1]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, names, a in blocks_of(batches):
+            own = np.linalg.qr(a)[0] @ shares.value[block]
+            for begin in range(0, len(own), 1024):
+                some, name = own[begin : begin + 1024], names[begin : begin + 1024]
+                yield pa.RecordBatch.from_pydict({"i": np.repeat(name, k), "j": np.tile(np.arange(1, k + 1), len(name)), "v": some.reshape(-1)})
+
+    return dealt.mapInArrow(spread, "i long, j long, v double"), r

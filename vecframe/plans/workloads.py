@@ -182,9 +182,12 @@ def qr(spark, d):
 
 @query()
 def qr_householder(spark, d):
-    rows = np.array([list(r) for r in wide(spark, d).orderBy("i").limit(4).select(*WIDE).collect()])
-    q, r = m.qr(rows)
-    return spark.createDataFrame([(i + 1, j + 1, float(q[i, j]), float(r[i, j])) for i in range(4) for j in range(4)], "i bigint, j bigint, q double, r double")
+    """All rows and dimensions of embeddings: q has the elements of Q (row i = vec_id + 1), r those of R; the other one is null."""
+    df = frame(spark, d, "embeddings").df
+    cells = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    q, r = m.tall_qr(df.select((F.col("vec_id") + 1).alias("i"), cells.alias("cells")), "i", "cells")
+    factor = spark.createDataFrame([(i + 1, j + 1, None, float(x)) for (i, j), x in np.ndenumerate(r)], "i bigint, j bigint, q double, r double")
+    return q.select("i", "j", F.col("v").alias("q"), F.lit(None).cast("double").alias("r")).unionByName(factor)
 
 
 @query()
