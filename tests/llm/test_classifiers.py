@@ -6,7 +6,7 @@ import pytest
 
 from vecframe.llm import quality as q
 from vecframe.llm import quality_rules as qr
-from vecframe.llm.classify import logistic
+from vecframe.llm.classify import bounded, logistic, teaching
 from vecframe.llm.kneser_ney import BEGIN, CONTEXT, END, Ratio, Shared, contexts
 from vecframe.llm.quality import quality
 from vecframe.llm.quality_rules import quality_rules
@@ -124,6 +124,13 @@ def test_quality_rules(tables):
     assert np.mean([r.kept == bool(labels[r.doc_id][0]) for r in held]) > 0.9
 
 
+def test_quality_rules_fit_sample(spark):
+    lab = spark.range(12_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = bounded(teaching(lab, "quality"), qr.FIT_DOCUMENTS).groupBy("y", "calibrates").count().collect()
+    assert {(r.y, r.calibrates): r["count"] for r in got} == {(y, c): n for y in (0, 1) for c, n in ((False, 1000), (True, 500))}
+    assert qr.EPOCHS == 8
+
+
 def test_shared_model_is_a_distribution():
     words = ["abra", "abba", "cab", "aac", "b"]
     s = Shared(g for w in words for g in contexts(w))
