@@ -83,6 +83,32 @@ def model(ts, pairs, uni, d):
     return out
 
 
+def test_one_discount_for_all_parts(spark):
+    rows = make(seed=3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 5, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append({r.doc_id: r.score for r in lm.lm_scoring(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+    toks = {i: words(t) for i, t in rows}
+    pairs, c = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, ts in toks.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update(ts)
+            for a, b in zip(["start", *ts[:-1]], ts, strict=True):
+                pairs[a][b] += 1
+    times = collections.Counter(n for h in pairs.values() for n in h.values())
+    d = lm._discount(times[1], times[2])
+    assert d == times[1] / (times[1] + 2 * times[2])
+    uni = lambda w: (c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))
+    for i, ts in toks.items():
+        assert abs(model(ts, pairs, uni, d) - got[1][i]) / len(ts) < 0.06
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert lm.lm_scoring(spark.createDataFrame([], schema)).count() == 0

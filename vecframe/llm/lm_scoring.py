@@ -7,7 +7,8 @@ relative to its context only.  Both levels are dealt over as many files as the s
 shared folder and are memory-mapped by the tasks that score.
 
 Counts come from all training texts: tasks combine what they have read, ship sorted runs, and each part of a level is
-merged by one task.  Probabilities are interpolated by absolute discounting with the additive unigram model.
+merged by one task.  Probabilities are interpolated by absolute discounting with the additive unigram model.  The discount
+and the values of the one-byte codes come from the counts of all parts, so that scores don't depend on how many there are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import held_out, stage_path, workers_of
+from .common import drop_path, held_out, stage_path, workers_of
 from .elias_fano import EliasFano, pack, pack_sorted, unpack, unpack_sorted
 from .memory import using
 
@@ -33,6 +34,8 @@ COUNT_TOKENS, MERGE_ENTRIES = 2_000_000, 8_000_000
 #: The multiplier of word hashes, its inverse's rule, the hash of the end of a text, the additive constant.
 BASE = 0x9E3779B97F4A7C15 | 1
 END, ADD = np.uint64(0xE0D), 0.5
+#: Steps of log10 probabilities that are counted for the codes: so many, of one GRID-th each.
+STEPS, GRID = 4096, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype="u1")
@@ -262,14 +265,21 @@ class Trie:
         return out
 
 
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte each, and the values of the 256 codes: means of equally large groups, equal values together."""
-    if not len(x):
-        return np.zeros(0, "u1"), np.zeros(256, "f4")
-    edges = np.quantile(x, np.linspace(0, 1, 257)[1:-1])
-    code = np.searchsorted(edges, x, "left").astype("u1")
-    n = np.bincount(code, minlength=256)
-    return code, (np.bincount(code, x, 256) / np.maximum(n, 1)).astype("f4")
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.clip(-x * GRID, 0, STEPS - 1).astype("i8")
+
+
+def _codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each step, and the values of the 256 codes: means of groups about equal in entries and steps, a step each where they suffice."""
+    code = np.zeros(STEPS, "u1")
+    used = np.flatnonzero(counts)
+    if not len(used):
+        return code, np.zeros(256, "f4")
+    share = counts[used] / counts.sum() + 1 / len(used)
+    group = np.arange(len(used)) if len(used) <= 256 else ((np.cumsum(share) - share / 2) * 128).astype("i8")
+    code[used] = group
+    n = np.bincount(group, counts[used], 256)
+    return code, (np.bincount(group, counts[used] * -((used + 0.5) / GRID), 256) / np.maximum(n, 1)).astype("f4")
 
 
 def build(texts: DataFrame, uri: str, parts: int) -> Trie:
@@ -308,36 +318,72 @@ def build(texts: DataFrame, uri: str, parts: int) -> Trie:
                 counter.add(*np.unique(context.astype("u8") << np.uint64(32) | word.astype("u8"), return_counts=True))
         yield from _runs(counter, lambda keys: ((keys >> np.uint64(32)) % np.uint64(parts)).astype("i8"), parts)
 
+    def write_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, keys, counts in _merged(batches):
+            _write(merged, f"pairs-{p}.npy", np.frombuffer(pack_sorted(keys), "u1"))
+            _write(merged, f"times-{p}.npy", np.frombuffer(pack(counts.astype("i8")), "u1"))
+            yield pa.RecordBatch.from_pydict({"part": [p], "n": [len(keys)], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
+
+    merged = f"{uri}-merged"
+    found = _deal(texts.mapInArrow(count_pairs, _RUN), parts).mapInArrow(write_counts, "part long, n long, once long, twice long").collect()  # a row for each part
+    written = {r["part"]: r["n"] for r in found}
+    discount = _discount(sum(r["once"] for r in found), sum(r["twice"] for r in found))
+
+    def modelled(own: Trie, p: int) -> tuple:
+        """Pointers, words, log10 probabilities and backoffs of a part, and which contexts it has."""
+        keys, counts = (f(mapped(merged, f"{name}-{p}.npy").tobytes(), written[p]) for f, name in ((unpack_sorted, "pairs"), (unpack, "times")))
+        context, word = (keys >> np.uint64(32)).astype("i8") // parts, (keys & np.uint64(0xFFFFFFFF)).astype("i8")
+        n = start // parts + 1
+        pointers = np.searchsorted(context, np.arange(n + 1))
+        heads = np.bincount(context, counts, n)
+        kinds = np.diff(pointers)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            backoff = np.where(heads > 0, np.log10(discount * kinds / heads), 0.0)
+        distinct, where = np.unique(word, return_inverse=True)
+        unigram = 10 ** own.unigram(_counts_of(own, distinct))[where]
+        probability = np.log10((counts - discount) / heads[context] + 10 ** backoff[context] * unigram)
+        return pointers, word, probability, backoff, heads > 0
+
+    def count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                _, _, probability, backoff, has = modelled(own, p)
+                for kind, x in enumerate((probability, backoff[has])):
+                    step, n = np.unique(_steps(x), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(step), kind), "step": step, "n": n})
+
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
-        for p, keys, counts in _merged(batches):
-            context, word = (keys >> np.uint64(32)).astype("i8") // parts, (keys & np.uint64(0xFFFFFFFF)).astype("i8")
-            n = start // parts + 1
-            pointers = np.searchsorted(context, np.arange(n + 1))
-            once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-            discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
-            heads = np.bincount(context, counts, n)
-            kinds = np.diff(pointers)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                backoff = np.where(heads > 0, np.log10(discount * kinds / heads), 0.0)
-            distinct, where = np.unique(word, return_inverse=True)
-            unigram = 10 ** own.unigram(_counts_of(own, distinct))[where]
-            probability = np.log10((counts - discount) / heads[context] + 10 ** backoff[context] * unigram)
-            code, values = _quantised(probability)
-            back_code, back_values = _quantised(backoff)
-            e = EliasFano.encode(pointers, len(keys))
-            for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("next", word.astype("u4")), ("probability", code), ("backoff", back_code), ("codes", np.stack([values, back_values]))):
-                _write(uri, f"{name}-{p}.npy", array)
-            yield pa.RecordBatch.from_pydict({"part": [p], "n": [len(keys)]})
-
-    written = {r["part"] for r in _deal(texts.mapInArrow(count_pairs, _RUN), parts).mapInArrow(write_pairs, "part long, n long").collect()}
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                pointers, word, probability, backoff, _ = modelled(own, p)
+                e = EliasFano.encode(pointers, len(word))
+                for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("next", word.astype("u4")), ("probability", codes[0][0][_steps(probability)]), ("backoff", codes[1][0][_steps(backoff)]), ("codes", np.stack([codes[0][1], codes[1][1]]))):
+                    _write(uri, f"{name}-{p}.npy", array)
+                yield pa.RecordBatch.from_pydict({"part": [p]})
+
+    spark = texts.sparkSession
+    some = spark.range(0, parts, 1, parts).where(F.col("id").isin(sorted(written))) if len(written) < parts else spark.range(0, parts, 1, parts)
+    steps = np.zeros((2, STEPS), "i8")
+    for r in some.mapInArrow(count_steps, "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect():
+        steps[r["kind"], r["step"]] = r["n"]
+    codes = [_codes(x) for x in steps]
+    some.mapInArrow(write_pairs, "part long").collect()
+    if written:
+        drop_path(spark, merged)
     e = EliasFano.encode(np.zeros(start // parts + 2, "i8"), 0)
-    for p in set(range(parts)) - written:  # parts without any pair
+    for p in set(range(parts)) - set(written):  # parts without any pair
         for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("next", np.zeros(0, "u4")), ("probability", np.zeros(0, "u1")), ("backoff", np.zeros(start // parts + 1, "u1")), ("codes", np.zeros((2, 256), "f4"))):
             _write(uri, f"{name}-{p}.npy", array)
     return trie
 
 
+def _discount(once: int, twice: int) -> float:
+    """The absolute discount, from how many pairs occur once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
+
 def _counts_of(trie: Trie, ids: np.ndarray) -> np.ndarray:
     """Counts of sorted word ids."""
     out = np.zeros(len(ids), "i8")
