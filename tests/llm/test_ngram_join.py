@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from vecframe.llm.components import connected_components
-from vecframe.llm.ngram_join import Bound, Union, _forest, ngram_join, part_hashes, shingles, trie_links
+from vecframe.llm.ngram_join import Bound, Union, forest, ngram_join, part_hashes, shingles, trie_links
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -88,13 +88,54 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(docs).collect()), key=repr)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (None, 1, None), (None, 0, None)], key=repr)
     assert ngram_join(docs.limit(0)).count() == 0
+    with pytest.raises(Exception, match="2\\^62"):
+        ngram_join(spark.createDataFrame([(1 << 62, "a")], "doc_id long, text string")).collect()
+
+
+def test_rows_without_id_link_others(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(w)), (None, " ".join([*w, "x"])), (3, " ".join([*w, "x", "y"])), (None, "p q r s t u"), (None, "p q r s t u v w x y")]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 98).collect()), key=repr)
+    assert got == sorted([(7, 3), (None, 3), (3, 3), (None, None), (None, None)], key=repr)
+
+
+def test_words_that_polynomials_modulo_powers_of_two_confuse(spark):
+    """Thue-Morse words of 4,096 letters: two different ones, and documents that share nothing."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    docs = spark.createDataFrame([(1, f"{one} {one} {one} {one}x {one}"), (2, f"{two} {two} {two} {two}x {two}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join(docs).collect()) == [(1, 1), (2, 2)]
+
+
+def test_links_are_checked_by_words(spark, monkeypatch):
+    """Even if all words had one number, sets that share no words stay apart."""
+    from vecframe.llm import ngram_join as module
+
+    sets = [np.array([1, 2, 3], "u8")] * 2
+    assert trie_links(sets, [0, 1], [0, 1], Bound(90)) in ([(0, 1)], [(1, 0)])
+    assert trie_links(sets, [0, 1], [0, 1], Bound(90), exact=lambda i, j: False) == []
+    assert module.true_shingles(b"A b  c", 2) == {(b"a", b"b"), (b"b", b"c")} and module.true_shingles(b" a ", 2) == {(b"a",)} and module.true_shingles(b" ", 2) == set()
+
+
+@pytest.mark.parametrize("n, per_cent", [(3, 90), (5, 80)])
+def test_large_group_of_near_copies(spark, n, per_cent):
+    """Thousands of near copies of one text, a long chain, and lone texts, in a table whose keys all tasks share."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(5000 - i, " ".join([*base, f"u{i}"])) for i in range(1500)]
+    chain = [f"c{i}" for i in range(200)]
+    rows += [(9000 + i, " ".join(chain[i : i + 150])) for i in range(50)]
+    rows += [(9500 + i, " ".join(f"z{r.randrange(10**6)}" for _ in range(40))) for i in range(50)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), n, per_cent).collect()}
+    assert got == {i: 3501 if i <= 5000 else 9000 if i < 9500 else i for i, _ in rows}
 
 
 def test_forest():
     r = np.random.default_rng(0)
     for n in (0, 1, 5, 80):
         edges = r.integers(0, 60, (n, 2))
-        got = _forest(edges)
+        got = forest(edges)
         union = Union(60)
         for a, b in edges:
             union.join(int(a), int(b))

@@ -67,7 +67,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     path = stage_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -79,8 +81,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def unstage(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        drop_path(df.sparkSession, f)
+    drop_path(df.sparkSession, df._staged_at)
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:

@@ -6,25 +6,27 @@ are those that are linked so through others.  Every link therefore lies within a
 the groups of near copies themselves.  In a block the sets, in one order of n-grams, are stored in a prefix tree: its
 shared beginnings share their partial overlaps with all sets that are looked up, and a branch is left as soon as the
 overlap can't reach the bound with what remains, or all that is below belongs to the component of the asking set.
-Blocks of more than BLOCK_SETS sets are cut into portions whose pairs are joined by different tasks.
+Blocks of more than BLOCK_SETS sets are cut into portions that different tasks join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import stage, workers_of
-from .components import connected_components
+from .components import connected_components, forest
 from .elias_fano import pack, pack_sorted, unpack, unpack_sorted
-from .lm_scoring import _LOWER, _POWERS, _SPACE, _mix
 from .memory import using
+from .words import mix, numbered, words
 
 #: Sets, and n-grams, of one portion of a block.
 BLOCK_SETS, BLOCK_GRAMS = 250, 200_000
@@ -34,26 +36,23 @@ RUN_PARTS = 1_000_000
 SPARE_PARTS, DEALS = 12, 6
 #: Differences in a part, and places of a part, of each turn.
 TURNS = ((1, 4), (2, 6))
-#: Ranges of keys that meet on their own: at least so many, so that small and large tables repeat edges alike.
-LEAST_BUCKETS = 256
+#: Ranges of keys that meet on their own: at least so many, so that small and large tables repeat edges alike, and no more
+#: keys in one (about) than this; ranges that a task has at most, where they are many.
+LEAST_BUCKETS, BUCKET_KEYS, BUCKETS_A_TASK = 256, 1 << 21, 5
+#: Places that the rows of one block are dealt to where they learn about the block.
+SALTS = 32
+#: Rows without an id are known by numbers from here on, made from their texts.
+NAMELESS = 1 << 62
 
 
 def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The set of hashed n-grams of words of each text, sorted; with fewer words, the whole sequence; without words, none."""
-    data = b" ".join([*texts, b""])
-    b = _LOWER[np.frombuffer(data, "u1")]
-    gap = _SPACE[b]
-    begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-    end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
-    _POWERS.grow(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((b.astype("u8") + np.uint64(1)) * _POWERS.up[: len(b)], dtype="u8")])
-    word = _mix((sums[end] - sums[begin]) * _POWERS.down[begin] + (end - begin).astype("u8"))
-    starts = np.searchsorted(begin, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    word, starts = numbered(texts)
     m = len(word) - n + 1
     gram = np.zeros(max(m, 0), "u8")
     for i in range(n):
         if m > 0:
-            gram = _mix(gram * np.uint64(0x9E3779B97F4A7C15) + word[i : i + m])
+            gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + word[i : i + m])
     out = []
     for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if z - a >= n:
@@ -61,13 +60,19 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
         elif z > a:
             x = np.full(1, z - a, "u8")
             for w in word[a:z]:
-                x = _mix(x * np.uint64(0xD6E8FEB86659FD93) + w)
+                x = mix(x * np.uint64(0xD6E8FEB86659FD93) + w)
             out.append(x)
         else:
             out.append(np.zeros(0, "u8"))
     return out
 
 
+def true_shingles(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    """The same set, of the words themselves."""
+    w = words(text)
+    return set(zip(*[w[i:] for i in range(n)])) if len(w) >= n else {tuple(w)} if w else set()
+
+
 class Bound:
     """Similarity of at least per_cent / 100: union and intersection of sets that link."""
 
@@ -107,21 +112,21 @@ def part_hashes(grams: np.ndarray, bound: Bound, turn: int = 0) -> np.ndarray:
     for band in (k, k + 1):
         most = bound.differences(band)
         if not most:
-            out.append(_mix(_mix(grams).sum(dtype="u8", keepdims=True) + np.uint64(band)))
+            out.append(mix(mix(grams).sum(dtype="u8", keepdims=True) + np.uint64(band)))
             continue
         needed = most // (slack + 1) + 1
         spare = needed // SPARE_PARTS
         m = needed + spare
         for deal in range(DEALS):
             seed = np.uint64((turn * 4096 + band) * 64 + deal)
-            place = ((_mix(grams ^ _mix(np.full(1, seed + np.uint64(1)))) >> np.uint64(32)) * np.uint64(places * m) >> np.uint64(32)).astype("i8")
+            place = ((mix(grams ^ mix(np.full(1, seed + np.uint64(1)))) >> np.uint64(32)) * np.uint64(places * m) >> np.uint64(32)).astype("i8")
             filled = np.bincount(place, minlength=places * m).reshape(m, places)
             order = np.argsort(place, kind="stable")
-            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(_mix(grams[order] + seed), dtype="u8")])
+            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(mix(grams[order] + seed), dtype="u8")])
             ends = np.concatenate([[0], np.cumsum(filled.reshape(-1))])
             content = (sums[ends[1:]] - sums[ends[:-1]]).reshape(m, places)
-            tag = _mix(np.arange(m * len(leave), dtype="u8").reshape(m, len(leave)) * np.uint64(1 << 32) + seed)
-            keys = _mix((content.sum(1, dtype="u8", keepdims=True) - content[:, leave].sum(2, dtype="u8")) ^ tag)
+            tag = mix(np.arange(m * len(leave), dtype="u8").reshape(m, len(leave)) * np.uint64(1 << 32) + seed)
+            keys = mix((content.sum(1, dtype="u8", keepdims=True) - content[:, leave].sum(2, dtype="u8")) ^ tag)
             some = filled.sum(1, keepdims=True) > filled[:, leave].sum(2)
             poor = int((~some).any(1).sum()) > spare
             last = poor and deal == DEALS - 1
@@ -198,10 +203,11 @@ def tree(sets: list[np.ndarray], numbers: list[int]) -> Node:
     return root
 
 
-def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound: Bound, all_links: bool = False) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound: Bound, all_links: bool = False, known: list | None = None, exact: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links between sets of left (which are looked up) and right (which are stored).
 
-    Enough of them that the components are right; with all_links every one.
+    Enough of them that the components are right; with all_links every one.  Sets with equal entries in known (None: no
+    entry) are of one component from the start.  exact has the last word on each link.
     """
     grams, where = np.unique(np.concatenate([sets[i] for i in {*left, *right}]), return_counts=True)
     # One order for the block: frequent n-grams first, so that near copies share long beginnings.
@@ -212,6 +218,11 @@ def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound:
     root = tree(placed, list(dict.fromkeys(right)))
     found: list[tuple[int, int]] = []
     union = Union(max([*left, *right]) + 1)
+    if known:
+        first: dict = {}
+        for i in {*left, *right}:
+            if known[i] is not None:
+                union.join(i, first.setdefault(known[i], i))
     step = max(1, 8_000_000 // max(1, len(grams)))
     for begin in range(0, len(left), step):
         asking = np.array(left[begin : begin + step])
@@ -229,7 +240,8 @@ def trie_links(sets: list[np.ndarray], left: list[int], right: list[int], bound:
                 need = bound.overlap(sizes[rows], size[j])
                 for k in np.flatnonzero(overlap >= need):
                     i = int(asking[rows[k]])
-                    if i != j and (union.join(i, j) or all_links):
+                    if i != j and (all_links or union.root(i) != union.root(j)) and (exact is None or exact(i, j)):
+                        union.join(i, j)
                         found.append((i, j))
             for child in node.children:
                 # the most that can still be met: the rest of the asking set, and the rest of the longest set below
@@ -250,16 +262,16 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest) of each row; the digest is null for the empty set."""
+    """(doc_id, node, n_shingles, digest) of each row; the digest is null for the empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingles(_bytes(batch), n)
-                digest = [(_mix(x).sum(dtype="u8") ^ np.uint64(len(x))).astype("u8").tobytes() + _mix(x + np.uint64(3)).sum(dtype="u8").tobytes() if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+                digest = [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "node", "n_shingles", "digest"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInArrow(work, "doc_id long, node long, n_shingles long, digest binary")
 
 
 def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,38 +285,16 @@ def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return part[first], doc[first], edges
 
 
-def _forest(edges: np.ndarray) -> np.ndarray:
-    """Edges from the least node of each component to its others: no more than nodes, with the same components."""
-    if not len(edges):
-        return edges
-    nodes, at = np.unique(edges, return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    name = np.arange(len(nodes))
-    while True:
-        least = np.minimum(name[a], name[b])
-        new = name.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == name).all():
-            break
-        name = new
-    more = np.flatnonzero(name != np.arange(len(nodes)))
-    return np.column_stack([nodes[name[more]], nodes[more]])
-
-
 _RUN = "bucket int, n long, parts binary, docs binary"
 _RUN_TYPES = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("parts", pa.binary()), ("docs", pa.binary())])
 
 
-def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
-    """Edges (a, b) of (doc_id, text, block), from the least document of a block that has a key to the others.
+def _near(docs: DataFrame, n: int, bound: Bound, buckets: int, turn: int = 0) -> DataFrame:
+    """Edges (a, b) of (node, text, block), from the least node of a block that has a key to the others.
 
-    Tasks combine first: of a part that several of a task's documents have only the least travels on, the others become
+    Tasks combine first: of a part that several of a task's sets have only the least travels on, the others become
     edges on the spot.  So no part, however common, sends more than one entry a task; entries travel in packed runs.
     """
-    tasks = workers_of(docs.sparkSession)
-    buckets = max(LEAST_BUCKETS, tasks)
 
     def edge_rows(edges: np.ndarray) -> pa.RecordBatch:
         """Edges travel as one run too."""
@@ -320,7 +310,7 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             part, doc, edges = _stars(np.concatenate(parts), np.concatenate(ids))
             if len(edges):
-                yield edge_rows(_forest(edges))
+                yield edge_rows(forest(edges))
             bounds = np.searchsorted(((part >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8"), np.arange(buckets + 1))
             for k in range(buckets):
                 a, z = bounds[k], bounds[k + 1]
@@ -331,9 +321,9 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                for doc, block, grams in zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), shingles(_bytes(batch), n), strict=True):
+                for doc, block, grams in zip(batch.column("node").to_pylist(), batch.column("block").to_pylist(), shingles(_bytes(batch), n), strict=True):
                     if len(grams):
-                        p = _mix(part_hashes(grams, bound, turn) + _mix(np.full(1, block, "i8").view("u8")))
+                        p = mix(part_hashes(grams, bound, turn) + mix(np.full(1, block, "i8").view("u8")))
                         parts.append(p)
                         ids.append(np.full(len(p), doc))
                         size += len(p)
@@ -347,7 +337,7 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
         bucket, parts, ids = None, [], []
 
         def edges() -> pa.RecordBatch:
-            found = _forest(_stars(np.concatenate(parts), np.concatenate(ids))[2]) if parts else np.zeros((0, 2), "i8")
+            found = forest(_stars(np.concatenate(parts), np.concatenate(ids))[2]) if parts else np.zeros((0, 2), "i8")
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
@@ -362,21 +352,34 @@ def _near(docs: DataFrame, n: int, bound: Bound, turn: int = 0) -> DataFrame:
                 ids.append(unpack(d, m))
         yield edges()
 
-    runs = docs.where("doc_id is not null").mapInArrow(spread, _RUN)
-    return runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    tasks = max(workers_of(docs.sparkSession), buckets // BUCKETS_A_TASK)
+    return docs.mapInArrow(spread, _RUN).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 def _block_links(rows: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """Links (a, b) of rows (task, side, doc_id, text) that come sorted by task.  side 0: looked up and stored; 1: looked up; 2: stored."""
+    """Links (a, b) of rows (task, side, node, known, text) that come sorted by task.
+
+    side 0: looked up and stored; 1: looked up; 2: stored.  known: the component it is known to be of, or null.  Hashes
+    find the links, and the words themselves decide on them.
+    """
+
+    def links(group: list[tuple[int, int, int | None, bytes]]) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        ids, texts = [g[1] for g in group], [g[3] for g in group]
+        true = lru_cache(4)(lambda i: true_shingles(texts[i], n))
+
+        def exact(i: int, j: int) -> bool:
+            x, y = true(j), true(i)
+            common = len(x & y)
+            return 100 * common >= bound.p * (len(x) + len(y) - common)
 
-    def links(group: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-        ids = [g[1] for g in group]
-        sets = shingles([g[2] for g in group], n)
         left = [i for i, g in enumerate(group) if g[0] != 2]
         right = [i for i, g in enumerate(group) if g[0] != 1]
-        return [(ids[i], ids[j]) for i, j in trie_links(sets, left, right, bound)] if len(group) > 1 else []
+        return [(ids[i], ids[j]) for i, j in trie_links(shingles(texts, n), left, right, bound, known=[g[2] for g in group], exact=exact)] if left and right else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("ngram_join")
         task, group, out = None, [], []
 
         def made() -> pa.RecordBatch:
@@ -385,51 +388,94 @@ def _block_links(rows: DataFrame, n: int, bound: Bound) -> DataFrame:
             return b
 
         for batch in batches:
-            for t, side, doc, text in zip(*[batch.column(c).to_pylist() for c in ("task", "side", "doc_id")], batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for t, side, node, known, text in zip(*[batch.column(c).to_pylist() for c in ("task", "side", "node", "known")], batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if t != task:
                     out += links(group)
                     task, group = t, []
-                group.append((side, doc, text or b""))
+                group.append((side, node, known, text or b""))
             if out:
                 yield made()
         out += links(group)
         yield made()
 
-    return rows.mapInArrow(work, "a long, b long")
+    tasks = rows.select("task", "side", "node", "known", "text").repartition(workers_of(rows.sparkSession), "task").sortWithinPartitions("task")
+    return tasks.mapInArrow(work, "a long, b long")
+
+
+def _salted(table: DataFrame, key: str, columns: list[Column]) -> DataFrame:
+    """A row of a small table SALTS times, so that the rows of a large one that have one key meet it in SALTS places."""
+    return table.select(key, *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def _by_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def _links(member: DataFrame, rows: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """(node, root) of the components that the links within blocks make, of member (node, root, n_shingles).
+
+    Blocks are cut into portions.  First each portion is joined with itself and with the least set of its block.  Then
+    the sets that are not of the largest component of their block so far meet all portions but their own, so that any two sets of
+    different components have met; sets that are of one component already need no other link.
+    """
+    weight = member.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("w")).where("k > 1")
+    weight = stage(weight.select("root", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("portions")), "join-blocks")
+    dealt = _by_salt(member).join(_salted(weight, "root", [F.col("portions")]).hint("merge"), ["root", "salt"])
+    dealt = stage(dealt.select("node", "root", "portions", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("portion")), "join-dealt")
+    own = dealt.select("node", F.xxhash64("root", "portion").alias("task"), F.lit(0).alias("side"))
+    first = weight.where("portions > 1").select(F.col("root").alias("node"), "root", F.pmod(F.xxhash64("root"), F.col("portions")).cast("int").alias("home"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    own = own.unionByName(first.where("portion <> home").select("node", F.xxhash64("root", "portion").alias("task"), F.lit(2).alias("side")))
+    texts = lambda asked: asked.hint("merge").join(rows.select("node", "text"), "node")
+    found = connected_components(_block_links(texts(own.withColumn("known", F.lit(None).cast("long"))), n, bound))
+    wide = dealt.where("portions > 1")
+    if wide.isEmpty():
+        return found
+    named = stage(wide.join(found.select("node", F.col("root").alias("known")).hint("merge"), "node", "left").withColumn("known", F.coalesce("known", "node")), "join-named")
+    sizes = named.groupBy("root", "known").count()
+    # of components of one size that of the least name
+    main = sizes.groupBy("root").agg(F.max_by("known", F.struct("count", -F.col("known"))).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most")).where("most < k")
+    main = stage(main.select("root", "main", F.ceil((F.col("k") - F.col("most")) / BLOCK_SETS).cast("int").alias("chunks")), "join-main")
+    if main.isEmpty():
+        return found
+    open_ = _by_salt(named).join(_salted(main, "root", [F.col("main"), F.col("chunks")]).hint("merge"), ["root", "salt"])
+    each = lambda many, name: F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias(name)
+    others = open_.where("known <> main").select("node", "root", "known", "portion", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), each("portions", "q"))
+    asked = others.where("q <> portion").select("node", "known", F.xxhash64("root", "q", "chunk").alias("task"), F.lit(1).alias("side"))
+    stored = open_.select("node", "root", "known", "portion", each("chunks", "chunk")).select("node", "known", F.xxhash64("root", "portion", "chunk").alias("task"), F.lit(2).alias("side"))
+    more = _block_links(texts(asked.unionByName(stored)), n, bound)
+    return connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def ngram_join(docs: DataFrame, n: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id.
 
-    Words are runs of bytes other than 09-0D and 20, A-Z in lower case.  Null and empty texts have the empty set, which
-    links with nothing.  A null id is scored for its set and gets the component of its class, but is never a component's
-    name unless its class has no other id; then component_id is null.  Repeated rows are one class; rows that share an id
-    but not a text are one document with the links of either.  An empty table gives an empty result.
+    Words are runs of bytes other than 09-0D and 20, A-Z in lower case; texts of any length are whole.  Null and empty
+    texts have the empty set, which links with nothing.  Ids are whole numbers below 2^62 (others are an error).  Rows
+    without an id take part in all links, but never name a component: component_id is null where none of its rows has an
+    id.  Repeated rows are one class; rows that share an id but not a text are one document with the links of either.
+    Other columns of docs, whatever their names, play no part.  An empty table gives an empty result.
     """
-    bound = Bound(per_cent)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    bound, spark = Bound(per_cent), docs.sparkSession
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    checked = F.when(doc_id < NAMELESS, doc_id).when(doc_id.isNotNull(), F.raise_error(F.lit("ids of 2^62 and more")).cast("long"))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(checked, F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NAMELESS))).alias("node"))
     sets = stage(_sets(rows, n), "join-sets")
-    classes = stage(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("own")).where("own is not null"), "join-classes")
-    first = connected_components(_near(rows.withColumn("block", F.lit(0).cast("long")), n, bound))
+    classes = stage(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("own"), F.first("n_shingles").alias("n_shingles")), "join-classes")
+    # About 8 keys for each n-gram in which sets of one size may differ, in buckets of about BUCKET_KEYS.
+    keys = 8 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - per_cent) // (100 + per_cent)
+    buckets = max(LEAST_BUCKETS, workers_of(spark), keys // BUCKET_KEYS)
+    blocks = stage(connected_components(_near(rows.withColumn("block", F.lit(0).cast("long")), n, bound, buckets)), "join-first")
     # Chains of chance agreements end where those of an independent second turn do: large blocks fall apart.
-    large = stage(first.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root"), "join-large")
-    again = rows.join(first.join(large.hint("merge"), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("block")).hint("merge"), "doc_id")
-    second = connected_components(_near(again, n, bound, turn=1))
-    blocks = first.join(large.hint("merge"), "root", "left_anti").select("node", "root").unionByName(second)
-
+    large = stage(blocks.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root"), "join-large")
+    if not large.isEmpty():
+        marked = stage(_by_salt(blocks).join(_salted(large, "root", [F.lit(True).alias("large")]).hint("merge"), ["root", "salt"], "left").select("node", "root", "large"), "join-marked")
+        again = rows.join(marked.where("large").select("node", F.col("root").alias("block")).hint("merge"), "node")
+        blocks = marked.where("large is null").select("node", "root").unionByName(connected_components(_near(again, n, bound, buckets, turn=1)))
     # Of each class one set goes to its block's tasks.
-    owners = classes.select(F.col("own").alias("node"))
-    member = stage(blocks.join(owners.distinct().hint("merge"), "node"), "join-members")
-    weight = member.join(sets.select(F.col("doc_id").alias("node"), "n_shingles").hint("merge"), "node").groupBy("root").agg(F.count_distinct("node").alias("k"), F.sum("n_shingles").alias("w")).where("k > 1")
-    weight = weight.select("root", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("portions"))
-    dealt = member.join(weight.hint("merge"), "root").select(F.col("node").alias("doc_id"), "root", "portions", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("portion"))
-    # A portion meets itself and every other: of two, the smaller number is looked up and the larger is stored.
-    one = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda q: F.struct(F.least("portion", q).alias("i"), F.greatest("portion", q).alias("j"), F.when(F.col("portion") == q, 0).when(F.col("portion") < q, 1).otherwise(2).alias("side")))
-    dealt = dealt.select("doc_id", "root", F.explode(one).alias("t")).select("doc_id", F.xxhash64("root", "t.i", "t.j").alias("task"), F.col("t.side").alias("side"))
-    texts = dealt.hint("merge").join(rows, "doc_id")
-    tasks = texts.select("task", "side", "doc_id", "text").repartition(workers_of(docs.sparkSession), "task").sortWithinPartitions("task")
-    links = connected_components(_block_links(tasks, n, bound))
+    owners = classes.groupBy(F.col("own").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    member = stage(blocks.join(owners.hint("merge"), "node"), "join-members")
+    links = _links(member, rows, n, bound)
 
     named = classes.join(links.select(F.col("node").alias("own"), "root").hint("merge"), "own", "left").select("digest", F.coalesce("root", "own").alias("name"))
     out = sets.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("name") < NAMELESS, F.col("name")), F.when(F.col("name").isNull(), F.col("doc_id"))).alias("component_id"))
