@@ -104,9 +104,11 @@ def brute_counts(text):
 def test_base_counts():
     r = random.Random(2)
     texts = ["", "a", "\n\n", "é x y", "a b c d e f g h " * 3, "x\nx\n \nx \nx", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8", "#a*b$ %&|<>##"]
+    # two words with one CRC, after equal words: no run of eight is repeated
+    texts.append("a b c d e f g plumless x y z a b c d e f g buckeroo")
     texts += [" ".join(r.choice(["a", "b", "c", "#", "\n", "\t"]) for _ in range(r.randrange(60))) for _ in range(200)]
     for t in texts:
-        assert qr.base_counts(*qr.read(t)) == brute_counts(t)
+        assert qr.base_counts(*qr.read(t)[:3]) == brute_counts(t)
 
 
 def test_quality_rules(tables):

@@ -20,7 +20,7 @@ from .bpe import slices
 from .classify import bounded, logistic, sigmoid, teaching
 from .memory import using
 
-#: Fixed values of the base rules: symbols, words of a window, fewest words, largest share (per cent) of repeated words.
+#: Fixed values of the base rules: symbols, words of a window (a power of two), fewest words, largest share (per cent) of repeated words.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
 #: A document passes the classifier from here.
 THRESHOLD = 0.5
@@ -52,20 +52,27 @@ def families(data: bytes, codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def base_counts(text: str, data: bytes, words: list[bytes], codes: np.ndarray) -> tuple[int, int, int, int, int]:
+def windows(words: list[bytes]) -> np.ndarray:
+    """A number for each run of WINDOW words: equal for equal runs, and only for those."""
+    seen: dict[bytes, int] = {}
+    x = np.fromiter((seen.setdefault(w, len(seen)) for w in words), "i8", len(words))
+    held = 1
+    while held < WINDOW:  # runs of twice the length, by the numbers of their halves
+        left, right = x[:-held], x[held:]
+        x = np.unique(left * (int(x.max()) + 1) + right, return_inverse=True)[1]
+        held *= 2
+    return x
+
+
+def base_counts(text: str, data: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     n = len(words)
     chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
     symbols = sum(text.count(c) for c in SYMBOLS)
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     repeated = 0
-    if n > WINDOW:
-        with np.errstate(over="ignore"):
-            h = np.zeros(n - WINDOW + 1, "u8")
-            for i in range(WINDOW):
-                h = (h ^ codes[i : n - WINDOW + 1 + i]) * _MIX
-                h ^= h >> np.uint64(29)
-        _, where, count = np.unique(h, return_inverse=True, return_counts=True)
+    if n > WINDOW and len(set(words)) < n:
+        _, where, count = np.unique(windows(words), return_inverse=True, return_counts=True)
         twice = np.flatnonzero(count[where] > 1)
         if len(twice):
             step = np.zeros(n + 1, "i8")
@@ -150,8 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_document
 def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """A row per row of docs: doc_id, the base counts, base_failed, kept, score.
 
-    Null text has no words and counts like an empty text: base_failed, so not kept.  A null id is treated like any other.
-    Repeated rows get equal results.  An empty table gives an empty result.
+    Null text has no words and counts like an empty text: base_failed, so not kept.  Texts of any length count whole.  A
+    null id is treated like any other.  Repeated rows get equal results, and rows that share an id each their own.  Other
+    columns of docs, whatever their names, play no part.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     shipped = rows.sparkSession.sparkContext.broadcast(fit(rows, labels, label, fit_documents))
@@ -165,7 +173,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", th
                 counts, raw = [], []
                 for t in batch.column("text").to_pylist():
                     text, data, words, codes = read(t)
-                    counts.append(base_counts(text, data, words, codes))
+                    counts.append(base_counts(text, data, words))
                     raw.append(model.raw(data, codes))
                 c = np.array(counts, "i8").reshape(len(raw), len(names))
                 score = model.score(np.array(raw))
