@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from vecframe.llm import lm_scoring as lm
+from vecframe.llm.common import stage_path
 from vecframe.llm.elias_fano import EliasFano, pack_sorted, unpack_sorted
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -45,68 +46,88 @@ def make(seed=1, n=150):
     return [(i, " ".join(v[min(59, int(r.paretovariate(0.6)) - 1)] for _ in range(r.randrange(40)))) for i in range(n)] + [(500, None), (501, ""), (502, "Only HERE once"), (503, "w1 " * 20_000)]
 
 
-def test_scores(spark):
-    rows = make()
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").repartition(3)
-    got = {r.doc_id: r for r in lm.lm_scoring(docs).collect()}
-    toks = {i: words(t) for i, t in rows}
-    teach = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = collections.Counter(w for i in teach for w in toks[i])
-    total, kinds = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    pairs = collections.defaultdict(collections.Counter)
-    for i in teach:
-        for a, b in zip(["start", *toks[i][:-1]], toks[i], strict=True):
-            pairs[a][b] += 1
-    assert set(got) == set(toks)
-    for i, ts in toks.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in teach, len(ts), sum(w in c for w in ts), total)
-        assert math.isclose(r.base_score, sum(math.log10(uni(w)) for w in ts), rel_tol=1e-9)
-    # the model, exactly: discounts are estimated for each part of the trie, so that they are taken from a fit here
-    for i in list(toks)[:60]:
-        best = min(abs(model(toks[i], pairs, uni, d) - got[i].score) / len(toks[i]) for d in np.linspace(0.1, 0.95, 86))
-        assert best < 0.06
-    held = [got[i] for i in toks if i not in teach and i < 500]
-    assert sum(r.score for r in held) > 1.02 * sum(r.base_score for r in held) - 50
-
-
-def model(ts, pairs, uni, d):
+def trained(rows):
+    """Counts of words, of successors of words, and of successors of pairs, from the rows that teach."""
+    c, levels = collections.Counter(), [collections.defaultdict(collections.Counter) for _ in range(2)]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            ts = words(t)
+            c.update(ts)
+            for k, w in enumerate(ts):
+                levels[0][ts[k - 1] if k else "start"][w] += 1
+                if k:
+                    levels[1][ts[k - 2] if k > 1 else "start", ts[k - 1]][w] += 1
+    return c, levels
+
+
+def score_of(ts, c, levels):
+    """log10 probabilities by the definition: absolute discounting, interpolated down to the additive unigrams."""
+    times = [collections.Counter(n for h in level.values() for n in h.values()) for level in levels]
+    ds = [t[1] / (t[1] + 2 * t[2]) for t in times]
+    assert [lm._discount(t[1], t[2]) for t in times] == ds
     out = 0.0
-    for a, b in zip(["start", *ts[:-1]], ts, strict=True):
-        h = pairs.get(a)
-        if not h:
-            out += math.log10(uni(b))
-            continue
-        n = sum(h.values())
-        out += math.log10(max(h[b] - d, 0) / n + d * len(h) / n * uni(b))
+    for k, w in enumerate(ts):
+        p = (c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))
+        contexts = [ts[k - 1] if k else "start"] + ([(ts[k - 2] if k > 1 else "start", ts[k - 1])] if k else [])
+        for level, d, h in zip(levels, ds, contexts, strict=False):
+            if h in level:
+                n = sum(level[h].values())
+                p = max(level[h][w] - d, 0) / n + d * len(level[h]) / n * p
+        out += math.log10(p)
     return out
 
 
-def test_one_discount_for_all_parts(spark):
-    rows = make(seed=3)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+def test_scores_are_the_models_however_many_parts(spark):
+    rows = make()
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").repartition(3)
     before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
         for parts in (1, 5, 40):
             spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            got.append({r.doc_id: r.score for r in lm.lm_scoring(docs).collect()})
+            got.append({r.doc_id: r for r in lm.lm_scoring(docs).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+    for other in got[1:]:
+        assert {i: r.score for i, r in got[0].items()} == pytest.approx({i: r.score for i, r in other.items()}, rel=1e-6)
     toks = {i: words(t) for i, t in rows}
-    pairs, c = collections.defaultdict(collections.Counter), collections.Counter()
-    for i, ts in toks.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update(ts)
-            for a, b in zip(["start", *ts[:-1]], ts, strict=True):
-                pairs[a][b] += 1
-    times = collections.Counter(n for h in pairs.values() for n in h.values())
-    d = lm._discount(times[1], times[2])
-    assert d == times[1] / (times[1] + 2 * times[2])
-    uni = lambda w: (c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))
+    teach = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, levels = trained(rows)
+    total, kinds = sum(c.values()), len(c)
+    uni = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    assert set(got[0]) == set(toks)
     for i, ts in toks.items():
-        assert abs(model(ts, pairs, uni, d) - got[1][i]) / len(ts) < 0.06
+        r = got[1][i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in teach, len(ts), sum(w in c for w in ts), total)
+        assert math.isclose(r.base_score, sum(math.log10(uni(w)) for w in ts), rel_tol=1e-9)
+        # a code stands for a few steps of 1 / GRID at most, here
+        assert abs(score_of(ts, c, levels) - r.score) / len(ts) < 4 / lm.GRID
+    held = [got[0][i] for i in toks if i not in teach and i < 500]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) - 50
+
+
+def test_repeated_texts_score_higher_by_longer_contexts(spark):
+    """Texts that the corpus repeats are told apart by what follows pairs of words."""
+    r = random.Random(5)
+    v = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(v) for _ in range(60))) for i in range(60)]
+    free = [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    twice = [(i, rows[k][1]) for k, i in enumerate(free[:10]) if zlib.crc32(str(k).encode()) % 5 != 1]
+    alone = [(i, " ".join(r.choice(v) for _ in range(60))) for i in free[10:20]]
+    got = {x.doc_id: x.score for x in lm.lm_scoring(spark.createDataFrame(rows + twice + alone, "doc_id long, text string")).collect()}
+    assert min(got[i] for i, _ in twice) > max(got[i] for i, _ in alone)
+
+
+def test_hot_contexts_are_spread(spark):
+    """One context with most of the successors: its entries are in many parts, and scores don't change."""
+    rows = [(i, " ".join(f"the n{i * 50 + k}" for k in range(50))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        trie = lm.build(docs.select("text"), stage_path(spark, "lm-test"), 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(trie.pairs.hot) >= 2 and max(trie.pairs.sizes) < 2.5 * sum(trie.pairs.sizes) / 20
 
 
 def test_odd_tables(spark):

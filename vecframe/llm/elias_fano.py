@@ -14,11 +14,13 @@ for _b in range(256):
 
 
 class EliasFano:
-    """values[i] for a non-decreasing sequence: low bits packed, high bits as unary gaps with a directory of ones by byte."""
+    """values[i] for a non-decreasing sequence: low bits packed, high bits as unary gaps, and the ones before each eight bytes.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self.ones = np.concatenate([[0], np.cumsum(_ONES[high], dtype="i8")])
+    All three are plain arrays, which may be memory maps: nothing is unfolded to read from them.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.rank = n, low_bits, low, high, rank
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -28,15 +30,26 @@ class EliasFano:
         low = values & np.uint64((1 << bits) - 1)
         packed = np.packbits(((low[:, None] >> np.arange(bits, dtype="u8")) & np.uint64(1)).astype("u1"), bitorder="little") if bits else np.zeros(0, "u1")
         at = (values >> np.uint64(bits)).astype("i8") + np.arange(n)
-        unary = np.zeros((int(at[-1]) + 8) // 8 * 8 if n else 8, "u1")
+        unary = np.zeros((int(at[-1]) + 64) // 64 * 64 if n else 64, "u1")
         unary[at] = 1
-        return cls(n, bits, np.concatenate([packed, np.zeros(9, "u1")]), np.packbits(unary, bitorder="little"))
+        high = np.packbits(unary, bitorder="little")
+        ones = np.cumsum(_ONES[high].reshape(-1, 8).sum(1, dtype="i8"))
+        rank = np.concatenate([[0], ones[:-1]])
+        return cls(n, bits, np.concatenate([packed, np.zeros(9, "u1")]), high, rank.astype("u4" if n < 1 << 32 else "u8"))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """values[i] for an array of places."""
         i = i.astype("i8")
-        byte = np.searchsorted(self.ones, i, "right") - 1
-        high = byte * 8 + _SELECT[self.high[byte], i - self.ones[byte]] - i
+        if not len(i):
+            return i
+        group = np.searchsorted(self.rank, i.astype(self.rank.dtype), "right") - 1
+        left = i - self.rank[group].astype("i8")
+        eight = self.high.reshape(-1, 8)[group]
+        passed = np.cumsum(_ONES[eight], axis=1, dtype="u1")
+        byte = (passed <= left[:, None]).sum(1)
+        each = np.arange(len(i))
+        left -= np.where(byte > 0, passed[each, byte - 1], 0)
+        high = group * 64 + byte * 8 + _SELECT[eight[each, byte], left] - i
         if not self.low_bits:
             return high
         bit = i * self.low_bits

@@ -1,19 +1,23 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The trie has two levels.  The first holds the training words by hash, with exact counts.  The second holds, for each word
-as a context, its successors in order: Elias-Fano pointers bound a context's stretch, successors are word ids, and their
-smoothed probabilities, like the contexts' backoff weights, are quantised to one byte.  Queries look for a successor
-relative to its context only.  Both levels are dealt over as many files as the session has shuffle partitions, lie in the
-shared folder and are memory-mapped by the tasks that score.
+The trie has three levels.  The first holds the training words by hash, with exact counts.  The second holds, for each
+word as a context, its successors in order, and the third those of each pair of words that the second holds: Elias-Fano
+pointers bound a context's stretch, successors are word ids, and their smoothed probabilities, like the contexts' backoff
+weights, are quantised to one byte.  Queries look for a successor relative to its context only.  All levels are dealt over
+files, lie in the shared folder and are memory-mapped, as they are, by the tasks that build the next level or score.
 
 Counts come from all training texts: tasks combine what they have read, ship sorted runs, and each part of a level is
-merged by one task.  Probabilities are interpolated by absolute discounting with the additive unigram model.  The discount
-and the values of the one-byte codes come from the counts of all parts, so that scores don't depend on how many there are.
+merged by one task; what follows a hot context is spread over all parts.  Probabilities are interpolated by absolute
+discounting with the next lower level, down to the additive unigram model.  The discounts and the values of the one-byte
+codes come from the counts of all parts, so that scores don't depend on how many there are.
 """
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,114 +29,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import drop_path, held_out, stage_path, workers_of
+from .common import drop_path, held_out, stage, stage_path, workers_of
 from .elias_fano import EliasFano, pack, pack_sorted, unpack, unpack_sorted
-from .memory import using
+from .memory import keeps, using
+from .words import numbered
 
 #: Tokens a task counts before it combines, and entries a merge holds before it compacts.
 COUNT_TOKENS, MERGE_ENTRIES = 2_000_000, 8_000_000
-#: The multiplier of word hashes, its inverse's rule, the hash of the end of a text, the additive constant.
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Training tokens of a part of the trie at most, about: more text makes more parts.
+PART_TOKENS = 8_000_000
+#: A context is hot if it has more than so large a share (one in HOT) of a part's tokens.
+HOT = 4
+#: Rows, and characters, that are looked up at once.
+BATCH_ROWS, BATCH_CHARS = 1024, 4_000_000
+#: The hash of the end of a text, the additive constant.
 END, ADD = np.uint64(0xE0D), 0.5
 #: Steps of log10 probabilities that are counted for the codes: so many, of one GRID-th each.
 STEPS, GRID = 4096, 256
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype="u1")
-_LOWER[65:91] += 32
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2^64, as far as they were needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, "u8")
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(n, base, "u8")
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype="u8"))
-
-
-_POWERS = _Powers()
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each text followed by END, and the number of tokens of each text."""
-    data = b" ".join([*texts, b""])
-    b = _LOWER[np.frombuffer(data, "u1")]
-    gap = _SPACE[b]
-    word = ~gap
-    begin = np.flatnonzero(word & np.concatenate([[True], gap[:-1]]))
-    end = np.flatnonzero(gap & np.concatenate([[False], word[:-1]]))
-    _POWERS.grow(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((b.astype("u8") + np.uint64(1)) * _POWERS.up[: len(b)], dtype="u8")])
-    h = _mix((sums[end] - sums[begin]) * _POWERS.down[begin] + (end - begin).astype("u8"))
+    h, starts = numbered(texts)
     h[h == END] ^= np.uint64(1)
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    words = np.diff(np.searchsorted(begin, starts))
-    n = words + 1
+    n = np.diff(starts) + 1
     out = np.empty(int(n.sum()), "u8")
-    ends = np.cumsum(n) - 1
     is_end = np.zeros(len(out), bool)
-    is_end[ends] = True
+    is_end[np.cumsum(n) - 1] = True
     out[is_end] = END
     out[~is_end] = h
     return out, n
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, "i8")
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _summed(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (part, key), in order, with their counts added up."""
+    if len(keys) and (bits := int(keys.max()).bit_length()) + int(part.max()).bit_length() <= 64:
+        order = np.argsort(part.astype("u8") << np.uint64(bits % 64) | keys if bits < 64 else keys, kind="stable")
+    else:
+        order = np.lexsort((keys, part))
+    part, keys, counts = part[order], keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])) if len(keys) else np.zeros(0, "i8")
+    return part[first], keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 class _Counter:
-    """Sorted keys with counts, compacted now and then."""
+    """Sorted keys of parts with counts, compacted now and then."""
 
     def __init__(self, limit: int):
-        self.limit, self.parts, self.size = limit, [], 0
+        self.limit, self.held, self.size = limit, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
+    def add(self, part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((part, keys, counts))
         self.size += len(keys)
-        if self.size > self.limit and len(self.parts) > 1:
-            self.parts = [self.total()]
-            self.size = len(self.parts[0][0])
+        if self.size > self.limit and len(self.held) > 1:
+            self.held = [self.total()]
+            self.size = len(self.held[0][0])
             self.limit = max(self.limit, 2 * self.size)
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, "u8"), np.zeros(0, "i8")
-        return _summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "i8")
+        return _summed(*(np.concatenate([h[k] for h in self.held]) for k in range(3)))
 
 
 _RUN = "part int, n long, ids binary, counts binary"
 _RUN_TYPES = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def _runs(counter: _Counter, part_of, parts: int) -> Iterator[pa.RecordBatch]:
+def _runs(counter: _Counter) -> Iterator[pa.RecordBatch]:
     """The counter's content as one run for each part of the level."""
-    keys, counts = counter.total()
-    part = part_of(keys)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        at = order[bounds[p] : bounds[p + 1]]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(at)]), pa.array([pack_sorted(keys[at])], pa.binary()), pa.array([pack(counts[at].astype("i8"))], pa.binary())], schema=_RUN_TYPES)
+    part, keys, counts = counter.total()
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < z:
+            yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([z - a]), pa.array([pack_sorted(keys[a:z])], pa.binary()), pa.array([pack(counts[a:z].astype("i8"))], pa.binary())], schema=_RUN_TYPES)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -143,24 +113,29 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             p, n = batch.column("part")[i].as_py(), batch.column("n")[i].as_py()
             if p != part:
                 if part is not None:
-                    yield part, *counter.total()
+                    yield part, *counter.total()[1:]
                 part, counter = p, _Counter(MERGE_ENTRIES)
-            counter.add(unpack_sorted(batch.column("ids")[i].as_py(), n), unpack(batch.column("counts")[i].as_py(), n))
+            counter.add(np.zeros(n, "u1"), unpack_sorted(batch.column("ids")[i].as_py(), n), unpack(batch.column("counts")[i].as_py(), n))
     if part is not None:
-        yield part, *counter.total()
+        yield part, *counter.total()[1:]
 
 
 def _write(uri: str, name: str, array: np.ndarray) -> None:
-    """A file of the shared folder, complete or absent: a second attempt writes the same."""
+    """A file of the shared folder, complete or absent: a second attempt writes the same, and may find the first one's."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
     task = TaskContext.get()
-    temporary = f"{root}/_{name}.{task.taskAttemptId() if task else uuid.uuid4().hex}"
+    temporary, place = f"{root}/_{name}.{task.taskAttemptId() if task else uuid.uuid4().hex}", f"{root}/{name}"
     with store.open_output_stream(temporary) as f:
         np.save(_Sink(f), array, allow_pickle=False)
-    store.move(temporary, f"{root}/{name}")
+    try:
+        store.move(temporary, place)
+    except OSError:  # stores that don't replace a file
+        if store.get_file_info(place).size != store.get_file_info(temporary).size:
+            raise
+        store.delete_file(temporary)
 
 
 class _Sink:
@@ -173,25 +148,53 @@ class _Sink:
 
 
 _MAPPED: dict[str, np.ndarray] = {}
+_COPIES: list[str] = []
+
+
+def _let_go() -> None:
+    _MAPPED.clear()
+    while _COPIES:
+        shutil.rmtree(_COPIES.pop(), True)
+
+
+keeps("lm_scoring", _let_go)
+atexit.register(_let_go)
 
 
 def mapped(uri: str, name: str) -> np.ndarray:
-    """A file as a memory map: in place where the shared folder is a mounted one, else from a local copy."""
+    """A file as a memory map: in place where the shared folder is a mounted one, else from this worker's copy, which goes with it."""
     key = f"{uri}/{name}"
     if key not in _MAPPED:
         if len(_MAPPED) > 20_000:
-            _MAPPED.clear()
+            _let_go()
         if uri.startswith(("file:", "/")):
             path = f"{uri.removeprefix('file://').removeprefix('file:')}/{name}"
         else:
             from pyarrow import fs
 
-            path = os.path.join(tempfile.mkdtemp(prefix="vecframe-lm-"), name)
+            if not _COPIES:
+                _COPIES.append(tempfile.mkdtemp(prefix="vecframe-lm-"))
+            path = os.path.join(_COPIES[0], f"{len(_MAPPED)}-{name}")
             fs.copy_files(key, f"file://{path}")
         _MAPPED[key] = np.load(path, mmap_mode="r", allow_pickle=False)
     return _MAPPED[key]
 
 
+def _read(uri: str, name: str) -> np.ndarray:
+    """A file that is read once, into memory."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+        return np.load(io.BytesIO(f.read()), allow_pickle=False)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes as the largest needs."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(k for k, bits in (("u1", 8), ("u2", 16), ("u4", 32), ("i8", 63)) if most < 1 << bits))
+
+
 def _deal(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").sortWithinPartitions("part")
 
@@ -200,14 +203,21 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-class Trie:
-    """Both levels, as they lie below a path of the shared folder."""
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, with the places where."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        yield p, order[bounds[p] : bounds[p + 1]]
+
+
+class Words:
+    """The first level: ids are places in the order of hashes.  Id `size` is the start of a text, as a context."""
 
     def __init__(self, uri: str, parts: int, sizes: list[int], total: int):
         self.uri, self.parts, self.total = uri, parts, total
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype("i8")  # id of each part's first word
-        self.words = int(self.first[-1])
-        self._levels: dict[int, tuple] = {}
+        self.size = int(self.first[-1])
 
     def part_of(self, h: np.ndarray) -> np.ndarray:
         """Words by ranges of their hash."""
@@ -229,44 +239,137 @@ class Trie:
             count[a:b][hit] = c[at[hit]]
         return out, count
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))
-
-    def level(self, p: int) -> tuple:
-        if p not in self._levels:
-            head = mapped(self.uri, f"head-{p}.npy")
-            self._levels[p] = (EliasFano(int(head[0]), int(head[1]), mapped(self.uri, f"low-{p}.npy"), mapped(self.uri, f"high-{p}.npy")), *(mapped(self.uri, f"{n}-{p}.npy") for n in ("next", "probability", "backoff", "codes")))
-        return self._levels[p]
-
-    def pairs(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) of known contexts; word -1 is unknown; lower is the word's unigram log10 probability."""
-        out = np.array(lower, float)
-        part = context % self.parts
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of sorted word ids."""
+        out = np.zeros(len(ids), "i8")
+        bounds = np.searchsorted(ids, self.first)
         for p in range(self.parts):
-            at = order[bounds[p] : bounds[p + 1]]
-            if not len(at):
-                continue
-            pointers, successors, probability, backoff, codes = self.level(p)
-            local, w = context[at] // self.parts, word[at]
-            low, end = pointers.get(local), pointers.get(local + 1)
-            high = end.copy()
-            while (open_ := np.flatnonzero(low < high)).size:
-                middle = (low[open_] + high[open_]) >> 1
-                less = successors[middle] < w[open_]
-                low[open_] = np.where(less, middle + 1, low[open_])
-                high[open_] = np.where(less, high[open_], middle)
-            hit = low < end
-            hit[hit] = successors[low[hit]] == w[hit]
-            out[at[hit]] = codes[0][probability[low[hit]]]
-            miss = ~hit
-            out[at[miss]] += codes[1][backoff[local[miss]]]
+            a, b = bounds[p], bounds[p + 1]
+            if a < b:
+                out[a:b] = mapped(self.uri, f"counts-{p}.npy")[ids[a:b] - self.first[p]]
+        return out
+
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + ADD) / (self.total + ADD * (self.size + 1)))
+
+
+class Level:
+    """Successors of contexts 0 .. contexts - 1, dealt over parts: by context, and those of hot contexts by word."""
+
+    def __init__(self, uri: str, order: int, parts: int, words: int, contexts: int, hot: np.ndarray):
+        self.uri, self.order, self.parts, self.words, self.contexts, self.hot = uri, order, parts, words, contexts, hot
+        self.bits, self.regular = max(1, words.bit_length()), contexts // parts + 1
+        self.local_contexts = self.regular + len(hot)
+        self.sizes, self.codes = [0] * parts, np.zeros((2, 256), "f4")
+        self._open: dict[int, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": {}}
+
+    @property
+    def first(self) -> np.ndarray:
+        """The number of each part's first entry, over all parts."""
+        return np.concatenate([[0], np.cumsum(self.sizes)]).astype("i8")
+
+    def place(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Part, and number of the context there."""
+        part, local = context % self.parts, context // self.parts
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            hot = self.hot[at] == context
+            part = np.where(hot, np.maximum(word, 0) * self.parts // (self.words + 1), part)
+            local = np.where(hot, self.regular + at, local)
+        return part, local
+
+    def file(self, name: str, p: int) -> np.ndarray:
+        return mapped(self.uri, f"{name}{self.order}-{p}.npy")
+
+    def write(self, name: str, p: int, array: np.ndarray) -> None:
+        _write(self.uri, f"{name}{self.order}-{p}.npy", array)
+
+    def part(self, p: int) -> tuple:
+        if p not in self._open:
+            head = self.file("head", p)
+            self._open[p] = (EliasFano(int(head[0]), int(head[1]), *(self.file(n, p) for n in ("low", "high", "rank"))), self.file("next", p))
+        return self._open[p]
+
+    def find(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Number of the entry of word after context (-1: none), and with lower, log10 of the word's probability at the
+        level below, that at this one.  All contexts are known; word -1 is unknown."""
+        entry = np.full(len(context), -1, "i8")
+        score = None if lower is None else np.array(lower, float)
+        part, local = self.place(context, word)
+        first = self.first
+        for p, at in _by_part(part, self.parts):
+            here, w = local[at], word[at]
+            if not self.sizes[p]:
+                hit = np.zeros(len(at), bool)
+            else:
+                pointers, successors = self.part(p)
+                low, end = pointers.get(here), pointers.get(here + 1)
+                high = end.copy()
+                while (open_ := np.flatnonzero(low < high)).size:
+                    middle = (low[open_] + high[open_]) >> 1
+                    less = successors[middle] < w[open_]
+                    low[open_] = np.where(less, middle + 1, low[open_])
+                    high[open_] = np.where(less, high[open_], middle)
+                hit = low < end
+                hit[hit] = successors[low[hit]] == w[hit]
+                entry[at[hit]] = low[hit] + first[p]
+            if score is not None:
+                if hit.any():
+                    score[at[hit]] = self.codes[0][self.file("probability", p)[low[hit]]]
+                score[at[~hit]] += self.codes[1][self.file("backoff", p)[here[~hit]]]
+        return entry, score
+
+    def words_of(self, entries: np.ndarray) -> np.ndarray:
+        """The successor that each entry is."""
+        out, first = np.zeros(len(entries), "i8"), self.first
+        for p, at in _by_part(np.searchsorted(first, entries, "right") - 1, self.parts):
+            out[at] = self.file("next", p)[entries[at] - first[p]]
         return out
 
 
+class Trie:
+    """All levels, as they lie below a path of the shared folder."""
+
+    def __init__(self, words: Words, pairs: Level | None = None, triples: Level | None = None):
+        self.words, self.pairs, self.triples = words, pairs, triples
+
+    def seen(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of texts: word ids, counts, and the word that each follows (the start's id for the first)."""
+        distinct, where = np.unique(h, return_inverse=True)
+        ids, counts = self.words.ids(distinct)
+        word = ids[where]
+        context = np.concatenate([[self.words.size], word[:-1]])
+        context[np.cumsum(n)[:-1]] = self.words.size
+        return word, counts[where], context
+
+    def after_two(self, entry: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The pair that each token follows, by the pairs that end with each token; -1 for none, as for a text's first token."""
+        out = np.concatenate([[-1], entry[:-1]])
+        out[np.cumsum(n)[:-1]] = -1
+        return out
+
+    @staticmethod
+    def look(level: Level, context: np.ndarray, word: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """find() for all tokens, each distinct question once; context -1 is unknown."""
+        entry, score = np.full(len(context), -1, "i8"), None if lower is None else lower.copy()
+        at = np.flatnonzero(context >= 0)
+        if len(at) and level.contexts:
+            order = at[np.lexsort((word[at], context[at]))]
+            c, w = context[order], word[order]
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+            back, pick = np.cumsum(new) - 1, order[new]
+            found, s = level.find(context[pick], word[pick], None if lower is None else lower[pick])
+            entry[order] = found[back]
+            if s is not None:
+                score[order] = s[back]
+        return entry, score
+
+
 def _steps(x: np.ndarray) -> np.ndarray:
-    return np.clip(-x * GRID, 0, STEPS - 1).astype("i8")
+    return np.clip(-x * GRID, 0, STEPS - 1).astype("u2")
 
 
 def _codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,154 +385,183 @@ def _codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, (np.bincount(group, counts[used] * -((used + 0.5) / GRID), 256) / np.maximum(n, 1)).astype("f4")
 
 
-def build(texts: DataFrame, uri: str, parts: int) -> Trie:
-    """The trie of (text) rows."""
-    nothing = Trie(uri, parts, [0] * parts, 0)
+def _discount(once: int, twice: int) -> float:
+    """The absolute discount, from how many entries of a level occur once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build_words(texts: DataFrame, uri: str, parts: int) -> Words:
+    nothing = Words(uri, parts, [0] * parts, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lm_scoring")
         counter = _Counter(COUNT_TOKENS)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                counter.add(*np.unique(tokens(_texts(batch))[0], return_counts=True))
-        yield from _runs(counter, nothing.part_of, parts)
+            for batch in slices(whole, "text", BATCH_ROWS, BATCH_CHARS):
+                keys, n = np.unique(tokens(_texts(batch))[0], return_counts=True)
+                counter.add(nothing.part_of(keys), keys, n)
+        yield from _runs(counter)
 
-    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, keys, counts in _merged(batches):
             _write(uri, f"words-{p}.npy", keys)
-            _write(uri, f"counts-{p}.npy", counts)
+            _write(uri, f"counts-{p}.npy", _narrow(counts))
             yield pa.RecordBatch.from_pydict({"part": [p], "n": [len(keys)], "total": [int(counts.sum())]})
 
-    found = _deal(texts.mapInArrow(count_words, _RUN), parts).mapInArrow(write_words, "part long, n long, total long").collect()  # a row for each part
+    found = _deal(texts.mapInArrow(count, _RUN), parts).mapInArrow(merge, "part long, n long, total long").collect()  # a row for each part
     sizes = {r["part"]: r["n"] for r in found}
-    trie = Trie(uri, parts, [sizes.get(p, 0) for p in range(parts)], sum(r["total"] for r in found))
-    if trie.words >= 1 << 32:
-        raise ValueError("word ids have 32 bits here")
-    start, make = trie.words, lambda: Trie(uri, parts, [sizes.get(p, 0) for p in range(parts)], trie.total)
+    return Words(uri, parts, [sizes.get(p, 0) for p in range(parts)], sum(r["total"] for r in found))
+
+
+def _hot_words(words: Words, threshold: int, spark) -> np.ndarray:
+    """Ids of the words that occur more often: fewer than total / threshold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                if words.first[p] < words.first[p + 1]:
+                    yield pa.RecordBatch.from_pydict({"id": np.flatnonzero(mapped(words.uri, f"counts-{p}.npy") > threshold).astype("i8") + words.first[p]})
+
+    return np.array(sorted(r["id"] for r in spark.range(0, words.parts, 1, words.parts).mapInArrow(work, "id long").collect()), "i8")
+
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counter = make(), _Counter(COUNT_TOKENS)
+def _build_level(texts: DataFrame, trie: Trie, level: Level, threshold: int) -> np.ndarray:
+    """Counts, smooths and writes a level; returns its hot entries, which are contexts of the next."""
+    spark, merged, parts = texts.sparkSession, f"{level.uri}-merged", level.parts
+    low = np.uint64((1 << level.bits) - 1)
+
+    def asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Context and word of each training token that has a context at this level."""
+        h, n = tokens(_texts(batch))
+        word, _, context = trie.seen(h, n)
+        if level.order == 3:
+            context = trie.after_two(trie.look(trie.pairs, context, word)[0], n)
+            at = np.flatnonzero(context >= 0)
+            context, word = context[at], word[at]
+        return context, word
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lm_scoring")
+        counter = _Counter(COUNT_TOKENS)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                h, n = tokens(_texts(batch))
-                distinct, where = np.unique(h, return_inverse=True)
-                word = own.ids(distinct)[0][where]
-                context = np.concatenate([[start], word[:-1]])
-                context[np.cumsum(n)[:-1]] = start
-                counter.add(*np.unique(context.astype("u8") << np.uint64(32) | word.astype("u8"), return_counts=True))
-        yield from _runs(counter, lambda keys: ((keys >> np.uint64(32)) % np.uint64(parts)).astype("i8"), parts)
-
-    def write_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(whole, "text", BATCH_ROWS, BATCH_CHARS):
+                context, word = asked(batch)
+                part, local = level.place(context, word)
+                counter.add(*_summed(part, local.astype("u8") << np.uint64(level.bits) | word.astype("u8"), np.ones(len(word), "i8")))
+        yield from _runs(counter)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the parts hold as rows: the part's own (hot -1), and one for each hot context that it has some of."""
         for p, keys, counts in _merged(batches):
-            _write(merged, f"pairs-{p}.npy", np.frombuffer(pack_sorted(keys), "u1"))
+            _write(merged, f"keys-{p}.npy", np.frombuffer(pack_sorted(keys), "u1"))
             _write(merged, f"times-{p}.npy", np.frombuffer(pack(counts.astype("i8")), "u1"))
-            yield pa.RecordBatch.from_pydict({"part": [p], "n": [len(keys)], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
-
-    merged = f"{uri}-merged"
-    found = _deal(texts.mapInArrow(count_pairs, _RUN), parts).mapInArrow(write_counts, "part long, n long, once long, twice long").collect()  # a row for each part
-    written = {r["part"]: r["n"] for r in found}
-    discount = _discount(sum(r["once"] for r in found), sum(r["twice"] for r in found))
-
-    def modelled(own: Trie, p: int) -> tuple:
-        """Pointers, words, log10 probabilities and backoffs of a part, and which contexts it has."""
-        keys, counts = (f(mapped(merged, f"{name}-{p}.npy").tobytes(), written[p]) for f, name in ((unpack_sorted, "pairs"), (unpack, "times")))
-        context, word = (keys >> np.uint64(32)).astype("i8") // parts, (keys & np.uint64(0xFFFFFFFF)).astype("i8")
-        n = start // parts + 1
-        pointers = np.searchsorted(context, np.arange(n + 1))
-        heads = np.bincount(context, counts, n)
-        kinds = np.diff(pointers)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            backoff = np.where(heads > 0, np.log10(discount * kinds / heads), 0.0)
-        distinct, where = np.unique(word, return_inverse=True)
-        unigram = 10 ** own.unigram(_counts_of(own, distinct))[where]
-        probability = np.log10((counts - discount) / heads[context] + 10 ** backoff[context] * unigram)
-        return pointers, word, probability, backoff, heads > 0
-
-    def count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = make()
+            at = np.searchsorted(keys, np.arange(level.regular, level.local_contexts + 1).astype("u8") << np.uint64(level.bits))
+            total = np.concatenate([[0], np.cumsum(counts)])
+            hot = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_pydict({
+                "part": np.full(len(hot) + 1, p), "hot": np.concatenate([[-1], hot]), "n": np.concatenate([[len(keys)], np.diff(at)[hot]]), "total": np.concatenate([[counts.sum()], (total[at[1:]] - total[at[:-1]])[hot]]),
+                "once": np.full(len(hot) + 1, int((counts == 1).sum())), "twice": np.full(len(hot) + 1, int((counts == 2).sum())),
+                "often": pa.array([np.flatnonzero(counts > threshold).tolist()] + [[]] * len(hot), pa.list_(pa.int64())),
+            })
+
+    found = stage(_deal(texts.mapInArrow(count, _RUN), parts).mapInArrow(merge, "part long, hot long, n long, total long, once long, twice long, often array<long>"), "lm-parts")
+    rows = found.where("hot < 0").collect()  # a row for each part
+    for r in rows:
+        level.sizes[r["part"]] = r["n"]
+    discount = _discount(sum(r["once"] for r in rows), sum(r["twice"] for r in rows))
+    kinds_hot, heads_hot = np.zeros(len(level.hot)), np.zeros(len(level.hot))
+    for r in found.where("hot >= 0").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():  # a row for each hot context
+        kinds_hot[r["hot"]], heads_hot[r["hot"]] = r["n"], r["total"]
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes pointers, successors and steps of the probabilities and backoffs; how often each step occurs."""
+        using("lm_scoring")
         for batch in batches:
             for p in batch.column("id").to_pylist():
-                _, _, probability, backoff, has = modelled(own, p)
-                for kind, x in enumerate((probability, backoff[has])):
-                    step, n = np.unique(_steps(x), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(step), kind), "step": step, "n": n})
-
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = make()
+                n = level.sizes[p]
+                keys, counts = (f(_read(merged, f"{name}-{p}.npy").tobytes(), n) for f, name in ((unpack_sorted, "keys"), (unpack, "times"))) if n else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+                local, word = (keys >> np.uint64(level.bits)).astype("i8"), (keys & low).astype("i8")
+                pointers = np.searchsorted(local, np.arange(level.local_contexts + 1))
+                heads, kinds = np.bincount(local, counts, level.local_contexts), np.diff(pointers).astype(float)
+                heads[level.regular :], kinds[level.regular :] = heads_hot, kinds_hot
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    backoff = np.where(heads > 0, np.log10(discount * kinds / heads), 0.0)
+                e = EliasFano.encode(pointers, n)
+                for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("rank", e.rank), ("next", _narrow(word))):
+                    level.write(name, p, array)
+                distinct, where = np.unique(word, return_inverse=True)
+                lower = trie.words.unigram(trie.words.counts(distinct))[where]
+                if level.order == 3:
+                    hot = np.concatenate([level.hot, [0]])[np.maximum(local - level.regular, 0)]
+                    context = np.where(local < level.regular, local * parts + p, hot)
+                    lower = trie.look(trie.pairs, trie.pairs.words_of(context), word, lower)[1]
+                probability = np.log10((counts - discount) / heads[local] + 10 ** (backoff[local] + lower))
+                for kind, name, x, some in ((0, "probability", probability, slice(None)), (1, "backoff", backoff, heads > 0)):
+                    steps = _steps(x)
+                    _write(merged, f"{name}-{p}.npy", steps)
+                    step, times = np.unique(steps[some], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(step), kind), "step": step.astype("i8"), "n": times})
+
+    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("id").to_pylist():
-                pointers, word, probability, backoff, _ = modelled(own, p)
-                e = EliasFano.encode(pointers, len(word))
-                for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("next", word.astype("u4")), ("probability", codes[0][0][_steps(probability)]), ("backoff", codes[1][0][_steps(backoff)]), ("codes", np.stack([codes[0][1], codes[1][1]]))):
-                    _write(uri, f"{name}-{p}.npy", array)
+                for name, code in (("probability", codes[0][0]), ("backoff", codes[1][0])):
+                    level.write(name, p, code[_read(merged, f"{name}-{p}.npy")])
                 yield pa.RecordBatch.from_pydict({"part": [p]})
 
-    spark = texts.sparkSession
-    some = spark.range(0, parts, 1, parts).where(F.col("id").isin(sorted(written))) if len(written) < parts else spark.range(0, parts, 1, parts)
+    every = spark.range(0, parts, 1, parts)
     steps = np.zeros((2, STEPS), "i8")
-    for r in some.mapInArrow(count_steps, "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect():
+    for r in stage(every.mapInArrow(model, "kind long, step long, n long"), "lm-steps").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect():  # 2 x STEPS rows at most
         steps[r["kind"], r["step"]] = r["n"]
     codes = [_codes(x) for x in steps]
-    some.mapInArrow(write_pairs, "part long").collect()
-    if written:
-        drop_path(spark, merged)
-    e = EliasFano.encode(np.zeros(start // parts + 2, "i8"), 0)
-    for p in set(range(parts)) - set(written):  # parts without any pair
-        for name, array in (("head", np.array([e.n, e.low_bits])), ("low", e.low), ("high", e.high), ("next", np.zeros(0, "u4")), ("probability", np.zeros(0, "u1")), ("backoff", np.zeros(start // parts + 1, "u1")), ("codes", np.zeros((2, 256), "f4"))):
-            _write(uri, f"{name}-{p}.npy", array)
-    return trie
+    level.codes = np.stack([codes[0][1], codes[1][1]])
+    every.mapInArrow(quantise, "part long").collect()
+    drop_path(spark, merged)
+    first = level.first
+    return np.array(sorted(int(first[r["part"]]) + k for r in rows for k in r["often"]), "i8")
 
 
-def _discount(once: int, twice: int) -> float:
-    """The absolute discount, from how many pairs occur once and twice."""
-    return min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
-
-
-def _counts_of(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    """Counts of sorted word ids."""
-    out = np.zeros(len(ids), "i8")
-    bounds = np.searchsorted(ids, trie.first)
-    for p in range(trie.parts):
-        a, b = bounds[p], bounds[p + 1]
-        if a < b:
-            out[a:b] = mapped(trie.uri, f"counts-{p}.npy")[ids[a:b] - trie.first[p]]
-    return out
+def build(texts: DataFrame, uri: str, parts: int) -> Trie:
+    """The trie of (text) rows."""
+    spark = texts.sparkSession
+    words = _build_words(texts, uri, parts)
+    trie = Trie(words)
+    parts = max(parts, words.total // PART_TOKENS)
+    threshold = max(1, words.total // (parts * HOT))
+    # The start of texts is a context like a word, and may be hot too.
+    hot = np.concatenate([_hot_words(words, threshold, spark), [words.size]])
+    pairs = Level(uri, 2, parts, words.size, words.size + 1, hot)
+    often = _build_level(texts, trie, pairs, threshold)
+    trie.pairs = pairs
+    triples = Level(uri, 3, parts, words.size, int(sum(pairs.sizes)), often)
+    _build_level(texts, trie, triples, threshold)
+    trie.triples = triples
+    return trie
 
 
 def lm_scoring(docs: DataFrame, mod: int = 5, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null text counts as empty: one token, the end.  A null id is not held out, so that its text teaches.  Repeated rows
-    each count in training and get equal scores.  An empty table gives an empty result; if nothing teaches, every word is
-    unknown and both scores are those of one symbol out of one.
+    Null text counts as empty: one token, the end.  Texts of any length are scored whole.  A null id is not held out, so
+    that its text teaches.  Repeated rows each count in training and get equal scores.  Other columns of docs, whatever
+    their names, play no part.  An empty table gives an empty result; if nothing teaches, every word is unknown and both
+    scores are those of one symbol out of one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    uri, parts = stage_path(spark, "lm"), workers_of(spark)
-    trie = build(rows.where(~held_out(F.col("doc_id"), mod, rest)).select("text"), uri, parts)
-    sizes, total, start = np.diff(trie.first).tolist(), trie.total, trie.words
+    trie = build(rows.where(~held_out(F.col("doc_id"), mod, rest)).select("text"), stage_path(spark, "lm"), workers_of(spark))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("lm_scoring")
-        own = Trie(uri, parts, sizes, total)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BATCH_ROWS, BATCH_CHARS):
                 h, n = tokens(_texts(batch))
-                distinct, where = np.unique(h, return_inverse=True)
-                ids, counts = own.ids(distinct)
-                unigram = own.unigram(counts)
-                doc = np.repeat(np.arange(len(n)), n)
-                word = ids[where]
-                context = np.concatenate([[start], word[:-1]])
-                context[np.cumsum(n)[:-1]] = start
-                lower = unigram[where]
-                score = lower.copy()
-                at = np.flatnonzero(context >= 0)
-                if total:
-                    keys, first, back = np.unique((context[at].astype("u8") << np.uint64(32)) | (word[at] & 0xFFFFFFFF).astype("u8"), return_index=True, return_inverse=True)
-                    pick = at[first]
-                    score[at] = own.pairs(context[pick], word[pick], lower[pick])[back]
-                size = len(n)
-                columns = [n.astype("i8"), np.bincount(doc, counts[where] > 0, size).astype("i8"), np.full(size, total), np.bincount(doc, lower, size), np.bincount(doc, score, size)]
+                word, counts, context = trie.seen(h, n)
+                lower = trie.words.unigram(counts)
+                entry, score = trie.look(trie.pairs, context, word, lower)
+                score = trie.look(trie.triples, trie.after_two(entry, n), word, score)[1]
+                doc, size = np.repeat(np.arange(len(n)), n), len(n)
+                columns = [n.astype("i8"), np.bincount(doc, counts > 0, size).astype("i8"), np.full(size, trie.words.total), np.bincount(doc, lower, size), np.bincount(doc, score, size)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in columns]], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
