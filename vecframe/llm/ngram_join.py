@@ -434,14 +434,19 @@ def _links(member: DataFrame, rows: DataFrame, n: int, bound: Bound) -> DataFram
     sizes = named.groupBy("root", "known").count()
     # of components of one size that of the least name
     main = sizes.groupBy("root").agg(F.max_by("known", F.struct("count", -F.col("known"))).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most")).where("most < k")
-    main = stage(main.select("root", "main", F.ceil((F.col("k") - F.col("most")) / BLOCK_SETS).cast("int").alias("chunks")), "join-main")
+    main = stage(main.select("root", "main", "k", (F.col("k") - F.col("most")).alias("rest"), F.ceil((F.col("k") - F.col("most")) / BLOCK_SETS).cast("int").alias("chunks")), "join-main")
     if main.isEmpty():
         return found
-    open_ = _by_salt(named).join(_salted(main, "root", [F.col("main"), F.col("chunks")]).hint("merge"), ["root", "salt"])
+    open_ = _by_salt(named).join(_salted(main, "root", [F.col(c) for c in ("main", "chunks", "k", "rest")]).hint("merge"), ["root", "salt"])
+    # Where most sets are outside the largest component, each two portions meet as they are: that sends fewer texts.
+    open_ = open_.withColumn("plain", F.col("k") * (F.col("portions") - 1) <= F.col("rest") * (F.col("portions") - 1) + F.col("k") * F.col("chunks"))
     each = lambda many, name: F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias(name)
-    others = open_.where("known <> main").select("node", "root", "known", "portion", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), each("portions", "q"))
+    pairs = open_.where("plain").select("node", "known", "root", "portion", each("portions", "q")).where("q <> portion")
+    pairs = pairs.select("node", "known", F.xxhash64("root", F.least("portion", "q"), F.greatest("portion", "q")).alias("task"), F.when(F.col("portion") < F.col("q"), 1).otherwise(2).alias("side"))
+    others = open_.where("known <> main and not plain").select("node", "root", "known", "portion", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), each("portions", "q"))
     asked = others.where("q <> portion").select("node", "known", F.xxhash64("root", "q", "chunk").alias("task"), F.lit(1).alias("side"))
-    stored = open_.select("node", "root", "known", "portion", each("chunks", "chunk")).select("node", "known", F.xxhash64("root", "portion", "chunk").alias("task"), F.lit(2).alias("side"))
+    stored = open_.where("not plain").select("node", "root", "known", "portion", each("chunks", "chunk")).select("node", "known", F.xxhash64("root", "portion", "chunk").alias("task"), F.lit(2).alias("side"))
+    asked = pairs.unionByName(asked)
     more = _block_links(texts(asked.unionByName(stored)), n, bound)
     return connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
