@@ -22,7 +22,8 @@ def keys(url):
         return None, []
     dirs = [d for d in path.split("/")[:-1] if d]
     labels = host.split(".")
-    return host, [host + "/" + "/".join(dirs[:i]) + "/" for i in range(len(dirs), 0, -1)] + [".".join(labels[i:]) for i in range(len(labels))]
+    few = lambda n: range(n, 0, -1) if n < 5000 else [n, n // 2, *range(500, 0, -1)]  # noqa: E731  the others are not in the list
+    return host, [host + "/" + "/".join(dirs[:i]) + "/" for i in few(len(dirs))] + [".".join(labels[i:]) for i in range(len(labels))]
 
 
 def brute(rows, entries):
@@ -45,8 +46,11 @@ def test_against_brute_force(spark):
     paths = ["", "/", "/p", "/p/", "/p/q/r.html", "/p//q/?x=/z/", "/s#/p/"]
     rows = [(i, f"http://{r.choice(hosts)}{r.choice(paths)}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randrange(24 * 60))) for i in range(400)]
     rows += [(900, None, dt.datetime(2024, 1, 2)), (901, "", dt.datetime(2024, 1, 2)), (902, "nonsense", dt.datetime(2024, 1, 2)), (903, "http://a.com/", None), (None, "http://a.com/p/", dt.datetime(2024, 2, 1)), (5, rows[5][1], rows[5][2]), (904, "http:///p/", dt.datetime(2024, 1, 2)), (905, "http://a.com/" + "p/" * 300, dt.datetime(2024, 2, 2))]
+    deep = "p/" * 300_000  # a URL of 600 KB, and keys of the list as deep as it and half as deep
+    rows += [(906, f"http://a.com/{deep}x", dt.datetime(2024, 2, 2)), (907, "http://" + "s." * 3000 + "a.com/", dt.datetime(2024, 2, 2))]
     names = ["a.com", "x.a.com", "com", "b.org", "c.net", "a.com/p/", "a.com/p/q/", "x.a.com/p/", "B.ORG/p/", "d.io"]
     entries = [(r.choice(names), (dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(60))).isoformat(), r.choice(["block", "allow", "remove"])) for _ in range(60)]
+    entries += [(f"a.com/{deep}", "2024-01-05", "allow"), (f"a.com/{deep[:300_000]}", "2024-01-05", "block")]
     got = url_filter(spark.createDataFrame([(*x, "k", "a") for x in rows], SCHEMA).repartition(3), entry_frame(spark, entries)).collect()
     assert sorted(((x.page_id, x.host, x.action, x.matched_key, x.blocked) for x in got), key=repr) == brute(rows, entries)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import stage_path, table
+from .common import stage, stage_path, table
 from .exact_dedup import exact_dedup
 from .lm_scoring import lm_scoring
 from .ngram_join import ngram_join
@@ -15,7 +15,7 @@ from .packing import packing
 from .quality import quality
 from .quality_rules import quality_rules
 from .toxicity import toxicity
-from .url_filter import entry_frame, url_filter
+from .url_filter import url_filter, url_parts
 from .warc import read_warc, write_warc
 
 
@@ -81,41 +81,46 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: The dated list of op10, and its captures' clock (page n is fetched n times 3,607 s, modulo 366 days, into 2024).
-URL_LIST = [
-    ("example.net", "2024-03-01", "block"),
-    ("example.net", "2024-10-01", "remove"),
-    ("example.org", "2024-08-15", "block"),
-    ("tionsh.example.net", "2024-02-10", "block"),
-    ("tionsh.example.net", "2024-05-01", "allow"),
-    ("tionsh.example.net", "2024-09-01", "remove"),
-    ("tionsh.example.net/de/", "2024-01-20", "block"),
-    ("tionsh.example.net/en/", "2024-06-01", "block"),
-    ("tionsh.example.net/en/", "2024-07-01", "allow"),
-    ("blog.tionble.example.com", "2024-04-01", "block"),
-    ("tionble.example.com", "2024-01-01", "allow"),
-    ("m.tiontion.example.com/fr/", "2024-02-01", "block"),
-    ("casino-win.example.com", "2024-01-01", "block"),
-    ("ththan.example.com", "2024-01-15", "block"),
-    ("ththan.example.com", "2024-12-01", "remove"),
-]
+def url_list(pages: DataFrame) -> DataFrame:
+    """The dated list of op10, made from the pages by rule, as pages has none.
+
+    Keys are each host, its parent domain of three labels, and each host with its first directory.  Four digits of a key's
+    MD5 decide (v): blocked on a day of 2024 if v is divisible by 3, allowed if by 5, removed if by 7.
+    """
+    host, path = url_parts(F.col("url"))
+    h = pages.select(host.alias("host"), F.regexp_extract(path, "^/+([^/]+)/", 1).alias("dir")).where("host is not null").distinct()
+    keys = h.select(F.explode(F.array(F.col("host"), F.array_join(F.slice(F.split("host", r"\."), -3, 3), "."), F.when(F.col("dir") != "", F.concat("host", F.lit("/"), "dir", F.lit("/"))))).alias("key"))
+    keys = keys.where("key <> ''").distinct().withColumn("v", F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int"))
+    day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("v") * k, F.lit(366))).cast("timestamp_ntz")
+    each = F.array(*[F.when(F.col("v") % m == 0, F.struct(day(k).alias("since"), F.lit(action).alias("action"))) for m, k, action in URL_RULES])
+    return keys.select("key", F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("key", "e.since", "e.action")
+
+
+#: Divisor, days for each unit of v (modulo 366), action.
+URL_RULES = [(3, 1, "block"), (5, 17, "allow"), (7, 29, "remove")]
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page n is fetched n times 3,607 s, modulo 366 days, into 2024, as pages has no times either."""
+    pages = table(spark, sf_dir, "pages")
     fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(page_id * 3607, 31622400))")
-    return url_filter(table(spark, sf_dir, "pages").withColumn("fetched", fetched), entry_frame(spark, URL_LIST))
+    entries = stage(url_list(pages), "url-list")
+    return url_filter(pages.withColumn("fetched", fetched), entries)
 
 
 OP10_SQL = (
-    "WITH e(key, since, action) AS (VALUES "
-    + ", ".join(f"('{k}', TIMESTAMP '{d}', '{a}')" for k, d, a in URL_LIST)
-    + r"""),
-i AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e),
-r AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 3607) % 31622400) AS fetched, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^?#]*)', 1) AS rest FROM pages),
+    r"""WITH r AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 3607) % 31622400) AS fetched, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^?#]*)', 1) AS rest FROM pages),
 a AS (SELECT *, split_part(rest, '/', 1) AS authority FROM r),
 c AS (SELECT *, substr(rest, length(authority) + 1) AS path,
  nullif(regexp_replace(regexp_replace(lower(split_part(authority, '@', -1)), ':\d*$', ''), '\.+$', ''), '') AS host FROM a),
 w AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(regexp_replace(path, '^/|[^/]*$', '', 'g'), '/'), lambda d: d <> '') AS dirs FROM c),
+n AS (SELECT DISTINCT unnest([host, array_to_string(labels[-3:], '.'), CASE WHEN len(dirs) > 0 THEN host || '/' || dirs[1] || '/' END]) AS key FROM w WHERE host IS NOT NULL),
+v AS (SELECT key, ('0x' || substr(md5(key), 1, 4))::INTEGER AS v FROM n WHERE key <> ''),
+e AS ("""
+    + " UNION ALL ".join(f"SELECT key, TIMESTAMP '2024-01-01' + to_days((v * {k}) % 366) AS since, '{action}' AS action, {rank} AS rank FROM v WHERE v % {m} = 0" for (m, k, action), rank in zip(URL_RULES, (2, 1, 3), strict=True))
+    + r"""),
+o AS (SELECT key, since, arg_max(action, rank) AS action FROM e GROUP BY key, since),
+i AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM o),
 k AS (
  SELECT page_id, fetched, 1000 - n AS weight, array_to_string(labels[n:], '.') AS key FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS n FROM w WHERE host IS NOT NULL)
  UNION ALL

@@ -2,8 +2,7 @@
 
 A list is a log of dated entries: on a date a key (a host, a domain, or a host with a path prefix) starts or stops being
 blocked or allowed.  The entries of each key become validity intervals, and every capture looks up the keys its URL can
-match (host, each parent domain, each path prefix: a number bounded by the URL) as of its fetch time.  The most specific
-key that is active decides.
+match (host, parent domains, path prefixes) as of its fetch time.  The most specific key that is active decides.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 
 #: The schema of a list
 ENTRY_SCHEMA = "key string, since timestamp_ntz, action string"
+#: Places in which a key of the list meets those who ask for it.
+SALTS = 16
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -39,32 +40,57 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(host != "", host), F.when(host != "", path)
 
 
-def candidate_keys(host: Column, path: Column) -> Column:
-    """Keys with how specific they are: host/prefix beats host, which beats its parent domains, the nearer the better."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((F.lit(1000) - i).alias("weight"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
-    dirs = F.split(F.regexp_replace(path, r"^/|[^/]*$", ""), "/")
-    deep = F.size(F.filter(dirs, lambda d: d != ""))
-    prefixes = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda i: F.struct((F.lit(1000) + i).alias("weight"), F.concat(host, F.lit("/"), F.array_join(F.slice(F.filter(dirs, lambda d: d != ""), 1, i), "/"), F.lit("/")).alias("key"))))
-    return F.concat(domains, F.coalesce(prefixes, F.array().cast("array<struct<weight:int,key:string>>")))
+def depth_of(key: Column) -> Column:
+    """How deep a key goes: a host with a path prefix by its directories (positive), a bare host by its labels (negative)."""
+    return F.when(F.contains(key, F.lit("/")), F.size(F.split(key, "/")) - 2).otherwise(-F.size(F.split(key, r"\.")))
+
+
+def _salt(rows: Column) -> Column:
+    return F.pmod(rows, F.lit(SALTS)).cast("int")
+
+
+def _all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def _met(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """Asked rows with the interval of their key that holds at their time.  A key that many ask is met in SALTS places."""
+    spans = spans.select(F.col("key"), "action", "since", "until", _all_salts())
+    return asked.withColumn("salt", _salt(F.xxhash64("host", "path", "fetched"))).join(spans, ["key", "salt"]).where("fetched >= since and (until is null or fetched < until)").drop("salt")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """A row per row of captures: id, url, host, fetched, action (block, allow or null), matched key and interval start, blocked.
 
+    A host with a path prefix beats a bare host, which beats its parent domains; of either kind the longer the better.  Of
+    the keys that a URL could match only those are made that are as deep as some key of the list (for paths: of the list
+    for that host), so that work grows with the URL and not with its square, however long it is.
+
     A capture without a host or a fetch time matches nothing and isn't blocked.  Repeated captures each get their row, as
-    captures are told apart by their place and not their id.  An empty list blocks nothing; an empty table gives nothing.
+    captures are told apart by their place and not their id; ids may be null.  Other columns, whatever their names, play
+    no part.  An empty list blocks nothing; an empty table gives nothing.
     """
     host, path = url_parts(F.col("url"))
     c = captures.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{time_col}`").cast("timestamp_ntz").alias("fetched"))
     c = c.withColumns({"host": host, "path": path})
     # Distinct questions only: a hot host asks the same few over and over.
     asked = c.where("host is not null and fetched is not null").select("host", "path", "fetched").distinct()
-    asked = asked.select("host", "path", "fetched", F.explode(candidate_keys(F.col("host"), F.col("path"))).alias("k")).select("host", "path", "fetched", "k.weight", "k.key")
-    spans = intervals(entries)
-    met = asked.join(spans, (asked["key"] == spans["key"]) & (asked["fetched"] >= spans["since"]) & (spans["until"].isNull() | (asked["fetched"] < spans["until"])))
-    best = met.groupBy("host", "path", "fetched").agg(F.max_by(F.struct(spans["action"].alias("action"), spans["key"].alias("key"), spans["since"].alias("since")), "weight").alias("hit"))
+    spans = intervals(entries).withColumn("depth", depth_of(F.col("key")))
+    # Domains: how many labels the list's bare hosts have is a handful of numbers.
+    many = sorted(-r["depth"] for r in spans.where("depth < 0").select("depth").distinct().collect())
+    labels = F.split("host", r"\.")
+    of = lambda n: F.when(F.size(labels) >= n, F.struct((F.lit(-1_000_000_000) + n).alias("weight"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
+    domains = asked.select("host", "path", "fetched", F.explode(F.filter(F.array(*[of(n) for n in many]), lambda k: k.isNotNull())).alias("k")).select("host", "path", "fetched", "k.*") if many else None
+    # Path prefixes: as deep as the list has some for the host.
+    deep = spans.where("depth > 0").groupBy(F.substring_index("key", "/", 1).alias("host")).agg(F.sort_array(F.collect_set("depth")).alias("depths"))
+    dirs = F.filter(F.split(F.regexp_replace("path", r"^/|[^/]*$", ""), "/"), lambda d: d != "")
+    inside = asked.withColumn("salt", _salt(F.xxhash64("path", "fetched"))).join(deep.select("host", "depths", _all_salts()), ["host", "salt"]).withColumn("dirs", dirs)
+    inside = inside.withColumn("weight", F.explode(F.filter("depths", lambda n: n <= F.size("dirs"))))
+    prefix = F.concat("host", F.lit("/"), F.array_join(F.slice("dirs", F.lit(1), F.col("weight")), "/"), F.lit("/"))
+    met = _met(inside.select("host", "path", "fetched", "weight", prefix.alias("key")), spans)
+    if domains is not None:
+        met = met.unionByName(_met(domains, spans))
+    best = met.groupBy("host", "path", "fetched").agg(F.max_by(F.struct("action", "key", "since"), "weight").alias("hit"))
     out = c.join(best, ["host", "path", "fetched"], "left")
     return out.select(F.col("id").alias(id_col), "url", "host", "fetched", F.col("hit.action").alias("action"), F.col("hit.key").alias("matched_key"), F.col("hit.since").alias("active_since"), F.coalesce(F.col("hit.action") == "block", F.lit(False)).alias("blocked"))
 
