@@ -64,7 +64,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _summed(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (part, key), in order, with their counts added up."""
     if len(keys) and (bits := int(keys.max()).bit_length()) + int(part.max()).bit_length() <= 64:
-        order = np.argsort(part.astype("u8") << np.uint64(bits % 64) | keys if bits < 64 else keys, kind="stable")
+        order = np.argsort(part.astype("u8") << np.uint64(bits % 64) | keys if bits < 64 else keys)
     else:
         order = np.lexsort((keys, part))
     part, keys, counts = part[order], keys[order], counts[order]
@@ -176,7 +176,7 @@ def mapped(uri: str, name: str) -> np.ndarray:
                 _COPIES.append(tempfile.mkdtemp(prefix="vecframe-lm-"))
             path = os.path.join(_COPIES[0], f"{len(_MAPPED)}-{name}")
             fs.copy_files(key, f"file://{path}")
-        _MAPPED[key] = np.load(path, mmap_mode="r", allow_pickle=False)
+        _MAPPED[key] = np.load(path, mmap_mode="r", allow_pickle=False).view(np.ndarray)
     return _MAPPED[key]
 
 
@@ -306,7 +306,8 @@ class Level:
                 hit = np.zeros(len(at), bool)
             else:
                 pointers, successors = self.part(p)
-                low, end = pointers.get(here), pointers.get(here + 1)
+                new = np.concatenate([[True], here[1:] != here[:-1]])  # questions about one context mostly stand together
+                low, end = (pointers.get(here[new] + k)[np.cumsum(new) - 1] for k in (0, 1))
                 high = end.copy()
                 while (open_ := np.flatnonzero(low < high)).size:
                     middle = (low[open_] + high[open_]) >> 1
@@ -357,8 +358,10 @@ class Trie:
         entry, score = np.full(len(context), -1, "i8"), None if lower is None else lower.copy()
         at = np.flatnonzero(context >= 0)
         if len(at) and level.contexts:
-            order = at[np.lexsort((word[at], context[at]))]
-            c, w = context[order], word[order]
+            c, w = context[at], word[at]
+            fits = (level.contexts + 1).bit_length() + level.bits <= 63
+            by = np.argsort(c << level.bits | w & (1 << level.bits) - 1) if fits else np.lexsort((w, c))
+            order, c, w = at[by], c[by], w[by]
             new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
             back, pick = np.cumsum(new) - 1, order[new]
             found, s = level.find(context[pick], word[pick], None if lower is None else lower[pick])
