@@ -62,6 +62,36 @@ def test_same_bytes_however_the_rows_lie(spark):
     assert sums[0] == sums[1]
 
 
+def test_shards_are_even_whatever_the_ids(spark):
+    """One id far off, ids over the whole range of longs, rows that share ids, and many rows without one."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(i, "u", f"{i} " + "x" * 4000, 1) for i in range(1500)] + [(10**15, "u", "far", 1), (low, "u", "least", 1), (high, "u", "most", 1)]
+    rows += [(None, f"n{i}", f"none {i} " + "y" * 4000, 1) for i in range(300)] + [(7, f"v{i}", f"again {i}", 1) for i in range(20)]
+    sums = []
+    for k in (2, 5):
+        out = stage_path(spark, "warc-test")
+        manifest = warc.write_warc(spark.createDataFrame(rows[::-1] if k == 2 else rows, SCHEMA).repartition(k), out).collect()
+        sums.append({(m.file, m.sha256) for m in manifest})
+        by_shard = {m.shard: m.records for m in manifest}
+        assert len(by_shard) > 80 and max(by_shard.values()) < 60 and warc.read_warc(spark, out).count() == len(rows)
+    assert sums[0] == sums[1]
+
+
+def test_second_attempt_finds_the_first(tmp_path):
+    from pyarrow import fs
+
+    from vecframe.llm.common import settle
+
+    store = fs.LocalFileSystem()
+    for name, data in (("a", b"one"), ("b", b"one"), ("c", b"two")):
+        (tmp_path / name).write_bytes(data)
+    settle(store, str(tmp_path / "a"), str(tmp_path / "place"))
+    settle(store, str(tmp_path / "b"), str(tmp_path / "place"))
+    with pytest.raises(FileExistsError):
+        settle(store, str(tmp_path / "c"), str(tmp_path / "place"))
+    assert sorted(os.listdir(tmp_path)) == ["c", "place"] and (tmp_path / "place").read_bytes() == b"one"
+
+
 def test_odd_rows(spark):
     rows = [(3, "u", "t", 1), (3, "u", "t", 1), (1, None, "t", 1), (None, "v\r\nX: y", "t", 1), (None, None, "own", 1), (9, "http://x", None, 1)]
     out = stage_path(spark, "warc-test")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -44,13 +45,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset and all is one process."""
     sc = spark.sparkContext
     set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     own = getattr(sc, "_vecframe_shared", None)
     if own is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         own = tempfile.mkdtemp(prefix="vecframe-shared-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(f"file://{own}")
@@ -79,6 +82,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(store, temporary: str, place: str) -> None:
+    """A task's complete file gets its name.  An earlier attempt may have made the same file: then that one stays."""
+
+    def digest(path: str) -> str:
+        h = hashlib.sha256()
+        with store.open_input_stream(path, compression=None) as f:
+            while data := f.read(1 << 20):
+                h.update(data)
+        return h.hexdigest()
+
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(place).type != FileType.NotFound:
+        if digest(place) != digest(temporary):
+            raise FileExistsError(place)
+        store.delete_file(temporary)
+        return
+    store.move(temporary, place)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     drop_path(df.sparkSession, df._staged_at)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import drop_path, held_out, stage, stage_path, workers_of
+from .common import drop_path, held_out, settle, stage, stage_path, workers_of
 from .elias_fano import EliasFano, pack, pack_sorted, unpack, unpack_sorted
 from .memory import keeps, using
 from .words import numbered
@@ -130,12 +130,7 @@ def _write(uri: str, name: str, array: np.ndarray) -> None:
     temporary, place = f"{root}/_{name}.{task.taskAttemptId() if task else uuid.uuid4().hex}", f"{root}/{name}"
     with store.open_output_stream(temporary) as f:
         np.save(_Sink(f), array, allow_pickle=False)
-    try:
-        store.move(temporary, place)
-    except OSError:  # stores that don't replace a file
-        if store.get_file_info(place).size != store.get_file_info(temporary).size:
-            raise
-        store.delete_file(temporary)
+    settle(store, temporary, place)
 
 
 class _Sink:

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are range-sorted: exact counts of a fixed number of id ranges give shard bounds, so that the same rows make the
-same shards whatever the cluster does.  A shard's records go out in id order, each a gzip member of its own, to files
+Records are range-sorted: exact running totals of payload by id give shard bounds, so that the same rows make the same
+shards whatever the cluster does.  A shard's records go out in id order, each a gzip member of its own, to files
 that roll at a compressed size.  Headers, record ids and digests are made anew from the rows.  A file is written under a
 temporary name and renamed when complete (a second attempt of a task writes the same bytes again), and the archive
 counts as written once its manifest is in place.
@@ -12,23 +12,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, workers_of
+from .common import settle, stage, unstage, workers_of
 
 #: Compressed size at which a file ends, and payload bytes a shard aims at.
 ROLL_BYTES, SHARD_BYTES = 64 << 20, 64 << 20
 #: Small tables still make so many shards, of no less than LEAST_SHARD_BYTES, so that all cores write.
 SHARDS, LEAST_SHARD_BYTES = 256, 64 << 10
-#: Id ranges that are counted to place the shard bounds.
-RANGES = 16_384
+#: Bytes that the reader decompresses at once.
+CHUNK = 16 << 10
 #: Fixed values of the format.
 SOFTWARE, DATE = "vecframe", "2024-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:vecframe:warc")
@@ -77,24 +80,24 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers: tu
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each gzip member."""
-    rest, z, part = b"", zlib.decompressobj(31), []
-    while True:
-        data = rest or stream.read(1 << 20)
-        if not data:
-            if part and b"".join(part):
-                raise ValueError("the archive ends inside a record")
-            return
-        part.append(z.decompress(data))
-        rest = z.unused_data
-        if z.eof:
-            head, _, body = b"".join(part).partition(b"\r\n\r\n")
-            lines = head.decode().split("\r\n")
-            headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-            size = int(headers["content-length"])
-            if lines[0] != "WARC/1.1" or len(body) != size + 4:
-                raise ValueError("not a record")
-            yield headers, body[:size]
-            z, part = zlib.decompressobj(31), []
+    z, part = zlib.decompressobj(31), []
+    while data := stream.read(1 << 20):
+        view, at = memoryview(data), 0
+        while at < len(view):
+            chunk = view[at : at + CHUNK]
+            part.append(z.decompress(chunk))
+            at += len(chunk) - len(z.unused_data)
+            if z.eof:
+                head, _, body = b"".join(part).partition(b"\r\n\r\n")
+                lines = head.decode().split("\r\n")
+                headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+                size = int(headers["content-length"])
+                if lines[0] != "WARC/1.1" or len(body) != size + 4:
+                    raise ValueError("not a record")
+                yield headers, body[:size]
+                z, part = zlib.decompressobj(31), []
+    if any(part):
+        raise ValueError("the archive ends inside a record")
 
 
 def read_page(headers: dict[str, str], block: bytes) -> tuple:
@@ -110,31 +113,26 @@ def read_page(headers: dict[str, str], block: bytes) -> tuple:
     return number("warc-page-id"), headers.get("warc-target-uri"), kind, said, digest, number("warc-refers-to-page-id"), payload if kind == "response" else None
 
 
-def _shards(rows: DataFrame) -> Column:
-    """The shard of an id: consecutive ranges of ids with about equal payload.  Null ids are in the first."""
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return F.lit(0)
-    width = (high - low) // RANGES + 1
-    at = F.coalesce(F.expr(f"(id - ({low}L)) div {width}L"), F.lit(0).cast("long"))
-    sizes = rows.groupBy(at.alias("at")).agg(F.sum(F.length("payload") + 400).alias("n")).orderBy("at").collect()  # RANGES rows at most
-    aim = min(SHARD_BYTES, max(LEAST_SHARD_BYTES, sum(r["n"] for r in sizes) // SHARDS))
-    bounds, held = [], 0
-    for r in sizes:
-        if held and held + r["n"] > aim:
-            bounds.append(r["at"])
-            held = 0
-        held += r["n"]
-    if not bounds:
-        return F.lit(0)
-    # A balanced tree of comparisons: few for each row, however many shards.
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(at < bounds[m], tree(a, m)).otherwise(tree(m + 1, b))
-
-    return tree(0, len(bounds))
+def _bounds(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """First ids of the shards after the first, and how many shards the rows without an id make.
+
+    Ids are range-partitioned with the bytes of their rows; partitions' totals, a row each, and running totals within give
+    each id its place in the whole.  A shard holds the ids that begin within one stretch of so many bytes; of a shard only
+    the first id, 8 bytes for each SHARD_BYTES of payload, comes to the driver and goes to the tasks.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("id").agg(F.sum(F.length("payload") + 400).alias("n"))
+    none, total = sizes.agg(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.sum("n")).first()
+    aim = min(SHARD_BYTES, max(LEAST_SHARD_BYTES, (total or 0) // SHARDS))
+    placed = stage(sizes.where("id is not null").repartitionByRange(workers_of(spark), "id").withColumn("range", F.spark_partition_id()), "warc-sizes")
+    ranges = sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.sum("n").alias("n")).collect())  # a row for each partition
+    before = dict(zip([r for r, _ in ranges], itertools.accumulate([0, *[n for _, n in ranges]])))
+    starts = spark.createDataFrame(list(before.items()), "range int, before long")
+    own = F.sum("n").over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    at = placed.join(F.broadcast(starts), "range").select("id", F.floor((F.col("before") + F.coalesce(own, F.lit(0))) / aim).alias("shard"))
+    firsts = sorted(r["id"] for r in at.groupBy("shard").agg(F.min("id").alias("id")).collect())
+    unstage(placed)
+    return np.array(firsts[1:], "i8"), -(-(none or 0) // aim)
 
 
 def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -142,7 +140,9 @@ def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, id_col: str = "
 
     Null text counts as empty.  Of records with equal payloads of at least least_bytes bytes, that with the largest id is
     the response and the others revisit it; of repeated rows of that id one is the response.  Null ids come before all
-    others.  An empty table gives an empty manifest.
+    others, dealt to shards by their payload.  Rows of one id are in the order of their URLs and payloads, in one shard.
+    Texts of any length are one record each.  Ids are longs, or texts of such (others are an error).  Other columns of
+    pages, whatever their names, play no part.  An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("payload"))
@@ -153,7 +153,16 @@ def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, id_col: str = "
     nothing = lambda kind: F.lit(None).cast(kind)
     both = rows.select("id", "url", "payload", nothing("string").alias("sha1"), nothing("long").alias("refers"), F.lit(1).alias("is_page"))
     both = both.unionByName(marks.select("id", nothing("string").alias("url"), nothing("binary").alias("payload"), "sha1", "refers", F.lit(0).alias("is_page")))
-    dealt = both.withColumn("shard", _shards(rows).cast("long")).repartitionByRange(workers_of(spark), "shard").sortWithinPartitions("shard", "id", "is_page")
+    bounds, nameless = _bounds(rows)
+    firsts = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("long")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts.value, ids.to_numpy("i8"), "right"))
+
+    sum_ = F.coalesce("sha1", F.sha1("payload"))
+    shard = F.when(F.col("id").isNull(), F.pmod(F.xxhash64(sum_), F.lit(max(nameless, 1)))).otherwise(shard_of(F.coalesce("id", F.lit(0).cast("long"))) + nameless)
+    dealt = both.withColumn("shard", shard).repartitionByRange(workers_of(spark), "shard").sortWithinPartitions("shard", "id", "is_page", "url", "payload")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -221,7 +230,7 @@ class _File:
 
     def close(self) -> tuple:
         self.stream.close()
-        self.store.move(self.temporary, f"{self.root}/{self.name}")
+        settle(self.store, self.temporary, f"{self.root}/{self.name}")
         return self.name, self.shard, self.records, self.size, self.sum.hexdigest()
 
 
