@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -26,6 +27,15 @@ def using(user: str) -> None:
             if name != user:
                 release()
         gc.collect()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that: workers live on from stage to stage."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 class Memory(dict):
