@@ -54,8 +54,23 @@ def test_utf8_machine_is_pythons(data, step):
     assert "".join([*(m.feed(data[i : i + step]) for i in range(0, len(data), step)), m.end()]) == data.decode(errors="replace")
 
 
+def test_other_patterns_are_not_cut():
+    """A pattern whose matches cross blanks and line ends."""
+    pattern = r"[^x]+|x+"
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    for text in HARD:
+        assert bpe.Codec(RANKS, pattern).encode(text).tolist() == theirs.encode_ordinary(text)
+
+
+def test_characters_that_chunks_of_ids_split():
+    for text in ("日本語テキスト" * 40, "👩‍👩‍👧" * 40, "aé" * 200):
+        ids = OURS.encode(text).tolist()
+        for k in (1, 2, 3, 7):
+            assert "".join(OURS.decode(ids[i : i + k] for i in range(0, len(ids), k))) == text
+
+
 def test_table(spark):
-    rows = [(1, "a b"), (1, "a b"), (None, None), (3, ""), (4, "né " * 3000)]
+    rows = [(1, "a b"), (1, "a b"), (None, None), (3, ""), (4, "né " * 3000), (5, "日本語👧" * 900)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, ids int")
     got = bpe.bpe(docs, PATH, P.PATTERN).collect()
     assert sorted(map(repr, ((r.doc_id, r.ids, r.decoded) for r in got))) == sorted(map(repr, ((i, THEIRS.encode_ordinary(t or ""), t or "") for i, t in rows)))

@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -29,6 +30,8 @@ from .memory import Memory, keeps, still, taken, using
 MAX_STATES = 80_000
 MAX_PAIRS = 400_000
 MAX_CHUNKS = 900_000
+#: Ids that the decoder takes at once: a character may begin in one chunk and end in the next.
+DECODE_IDS = 256
 #: Rows, and characters, of one output batch.
 BATCH_ROWS, BATCH_CHARS = 256, 4_000_000
 
@@ -200,33 +203,41 @@ class Utf8Machine:
         self.part, self.need, self.low, self.high = bytearray(), 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.need:
-            try:
-                return data.decode()  # whole characters only
-            except UnicodeDecodeError:
-                pass
         out: list[str] = []
-        for b in data:
-            if self.need and self.low <= b <= self.high:
+        at = 0
+        while at < len(data):
+            if not self.need:  # whole characters at once, up to what needs a closer look
+                try:
+                    return "".join([*out, data[at:].decode()]) if out or at else data.decode()
+                except UnicodeDecodeError as e:
+                    out.append(data[at : at + e.start].decode())
+                    at += e.start
+            out.append(self._step(data[at]))
+            at += 1
+        return "".join(out)
+
+    def _step(self, b: int) -> str:
+        """One byte: what it completes."""
+        out = ""
+        if self.need:
+            if self.low <= b <= self.high:
                 self.part.append(b)
                 self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
                 if not self.need:
-                    out.append(self.part.decode())
+                    out = self.part.decode()
                     self.part.clear()
-                continue
-            if self.need:
-                out.append("�")
-                self._reset()
-            if b < 0x80:
-                out.append(chr(b))
-            elif 0xC2 <= b <= 0xF4:
-                self.need = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
-                # overlong forms, surrogates and values past the last code point end at the second byte
-                self.low, self.high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(b, (0x80, 0xBF))
-                self.part.append(b)
-            else:
-                out.append("�")
-        return "".join(out)
+                return out
+            out = "�"
+            self._reset()
+        if b < 0x80:
+            return out + chr(b)
+        if 0xC2 <= b <= 0xF4:
+            self.need = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
+            # overlong forms, surrogates and values past the last code point end at the second byte
+            self.low, self.high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(b, (0x80, 0xBF))
+            self.part.append(b)
+            return out
+        return out + "�"
 
     def end(self) -> str:
         left = "�" if self.need else ""
@@ -246,6 +257,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.machine = regex.compile(pattern), Transducer(ranks)
+        self.cuts = pattern == public_tokenizers.PATTERN  # the cut below is known to be right for this one only
         self.chunks = Memory(None, MAX_CHUNKS)
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
@@ -253,7 +265,7 @@ class Codec:
 
     def _cut(self, text: str) -> list[str]:
         """Stretches that begin and end where matches do: before each single blank and around each single line end one begins."""
-        if self.odd_space.search(text):
+        if not self.cuts or self.odd_space.search(text):
             return self.pattern.findall(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
@@ -321,8 +333,9 @@ def slices(batch: pa.RecordBatch, text_col: str, most_rows: int = BATCH_ROWS, mo
 def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: its id, token ids, and (decode) the text that the ids decode to.
 
-    Null text counts as empty, which has no tokens and decodes to the empty text.  Rows are never joined or compared, so
-    repeated rows and null ids simply come back.  An empty table gives an empty result.
+    Null text counts as empty, which has no tokens and decodes to the empty text.  Texts of any length are whole; their ids
+    are decoded in chunks of DECODE_IDS.  Rows are never joined or compared, so repeated rows and null ids simply come
+    back.  Other columns of docs, whatever their names, play no part.  An empty table gives an empty result.
     """
     fields = [("doc_id", docs.schema[id_col].dataType), ("ids", T.ArrayType(T.IntegerType()))] + [("decoded", T.StringType())] * decode
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -338,7 +351,7 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True, id_
                 flat = np.concatenate(ids) if ids else np.empty(0, "i4")
                 columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
                 if decode:
-                    columns.append(pa.array(["".join(c.decode([x.tolist()])) for x in ids], pa.string()))
+                    columns.append(pa.array(["".join(c.decode(x[k : k + DECODE_IDS].tolist() for k in range(0, len(x), DECODE_IDS))) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

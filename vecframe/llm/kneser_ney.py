@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 CONTEXT, DISCOUNT = 5, 0.75
 #: Letters that the shared model weighs as beside a class's own counts.
 SHARED = 16.0
+#: Evidence (in nats) of a letter that isn't worth an entry of its own.
+NEAR = 1e-3
 ONE, FEW = (1 << 32) - 1, (1 << 20) - 1
 BEGIN, END = "\x02", "\x03"
 
@@ -57,6 +59,8 @@ class Ratio:
 
     A class's own counts, discounted, are interpolated with the model of both classes' counts together, which weighs as
     much as SHARED letters more: a rare expression says little, and where neither class knows a context, nothing.
+    Letters whose evidence differs by no more than NEAR from that of an unseen letter after the same context are held as
+    such: a word's evidence is exact up to NEAR for each of its letters.
     """
 
     def __init__(self, counts: Iterable[tuple[str, int, int]]):
@@ -88,7 +92,7 @@ class Ratio:
             p1 = (max((n & ONE) - DISCOUNT, 0) + (DISCOUNT * (k >> 20 & FEW) + SHARED) * p) / ((t & ONE) + SHARED)
             p0 = (max((n >> 32) - DISCOUNT, 0) + (DISCOUNT * (k >> 40) + SHARED) * p) / ((t >> 32) + SHARED)
             r = math.log(p1 / p0)
-            if abs(r - self.unseen[h]) > 1e-3:
+            if abs(r - self.unseen[h]) > NEAR:
                 self.seen[g] = r
 
     def word(self, word: str) -> float:

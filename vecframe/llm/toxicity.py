@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_documents:
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, carry: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, held_out, score, predicted and the evidence behind the score; with carry, the row of docs as a struct too.
 
-    Null text counts as empty; an empty text has evidence 0 and gets the score of that.  A null id is scored like any
-    other and not held out.  Repeated rows get equal scores.  An empty table gives an empty result; without labels every
+    Null text counts as empty; an empty text has evidence 0 and gets the score of that.  Texts of any length are whole.  A
+    null id is scored like any other and not held out.  Repeated rows get equal scores.  Other columns of docs, whatever
+    their names, play no part.  An empty table gives an empty result; without labels every
     score is 0.5.  Only the texts enter a score.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *carried(docs, carry))
