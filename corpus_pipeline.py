@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All stages but the last return the columns of documents.
+
+In all stages: a null text counts as empty; texts of any length are whole; repeated rows are judged alike; columns beyond
+doc_id and text, whatever their names, stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,28 +26,32 @@ REMEMBER = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts 1 for go."""
+    """Documents that the toxicity operator predicts 1 for go.  Rows without an id, or without a label, are judged by their text like others."""
     return toxicity(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 0").select("row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts 0 for go."""
+    """Documents that the quality classifier predicts 0 for go.  Rows without an id, or without a label, are judged by their text like others."""
     return quality(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 1").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts the row with the smallest doc_id stays (without an id: only where no row of the group has one; of ties one)."""
     return exact_dedup(docs).kept()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents that with the smallest doc_id stays.  Rows without an id are never dropped here."""
+    """Of each component of similar documents that with the smallest doc_id stays.
+
+    Rows without an id link others, but are never dropped here; nor are rows that share the smallest id of their
+    component.  Empty texts are similar to nothing and stay.
+    """
     gone = ngram_join(docs, n=SHINGLE_WORDS, per_cent=SIMILAR_PER_CENT).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as pieces of training sequences, with their ids."""
+    """The remaining documents as pieces of training sequences, with their ids.  Empty texts are one id, the end; null ids stay null."""
     return packing(docs, public_tokenizers.path("word_bpe_49k.json"), remember=REMEMBER)
 
 
