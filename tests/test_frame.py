@@ -124,7 +124,7 @@ def test_matrices(spark):
     assert np.allclose(m.covariance(df, names), np.cov(a.T))
     values, vectors = al.pca(df, names)
     assert np.allclose(vectors @ np.diag(values) @ vectors.T, np.cov(a.T)) and list(values) == sorted(values)
-    assert np.allclose(m.tall_r(df, names), np.abs(np.sign(np.diag(np.linalg.qr(a)[1])))[:, None] * np.sign(np.diag(np.linalg.qr(a)[1]))[:, None] * np.linalg.qr(a)[1])
+    assert np.allclose(m.tall_qr(df.select(F.monotonically_increasing_id().alias("i"), F.array(*names).alias("c")), "i", "c")[1], np.abs(np.sign(np.diag(np.linalg.qr(a)[1])))[:, None] * np.sign(np.diag(np.linalg.qr(a)[1]))[:, None] * np.linalg.qr(a)[1])
     long = m.to_long(df, "i", names)
     got = np.zeros((3, 3))
     for x in m.mat_mat(m.transpose(long), long).collect():
@@ -222,3 +222,56 @@ def test_attributes_and_registry(spark):
         registry.call("twice", 1, 2)
     with pytest.raises(NameError):
         registry.call("nothing")
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 63, 64, 65, 81, 82, 200])
+def test_place_counts_the_bounds_below(spark, n):
+    from vecframe.operators.frame import place
+
+    bounds = list(range(0, 3 * n, 3))
+    rows = spark.range(-2, 3 * n + 3).select(F.col("id").alias("x"), place(F.col("id"), [F.lit(b) for b in bounds]).alias("r"))
+    assert all(r.r == sum(b < r.x for b in bounds) for r in rows.collect())
+    assert spark.range(1).select(place(F.lit(None).cast("long"), [F.lit(b) for b in bounds]).alias("r")).first().r == 0
+
+
+@pytest.mark.parametrize("partitions", [3, 90])
+def test_positions_and_scans_in_orders_of_any_type(spark, partitions):
+    """Texts, several columns with ties in the first, dates, NA in the order; on few and on many ranges."""
+    import datetime as dt
+
+    r = random.Random(1)
+    rows = [(f"k{r.randrange(5)}" if i % 50 else None, f"n{i:04d}", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 9), bool(i % 2)) for i in range(700)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "a string, b string, d date, x double, t boolean").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        for order, key in ((["a", "b"], lambda q: (q[0] is not None, q[0] or "", q[1])), (["b"], lambda q: q[1]), (["d"], lambda q: q[2]), (["t", "d"], lambda q: (q[4], q[2]))):
+            want = sorted(rows, key=key)
+            got = {q.b: (q[POSITION], q.s) for q in Frame(df, order).scan("sum", "x", "s").index().df.collect()}
+            total = 0.0
+            for i, q in enumerate(want):
+                total += q[3]
+                assert got[q[1]] == (i, total)
+            f = Frame(df, order)
+            assert [q.b for q in f.slice(3, 7).df.collect()] == [q[1] for q in want[2:7]]
+            assert len({q["_range"] for q in f._ranged()[0].select("_range").distinct().collect()}) > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_slices_and_products_at_their_edges(spark):
+    f = Frame(spark.range(10).toDF("i"), "i")
+    assert [r.i for r in f.slice(0, 2).df.collect()] == [0, 1] and f.slice(11, 20).df.count() == 0 and f.slice(5, 4).df.count() == 0
+    assert sorted(r.i for r in f.slice(9, 200_000).df.collect()) == [8, 9]
+    with pytest.raises(ValueError):
+        Frame(spark.range(3).toDF("i")).slice(1, 2)
+    a, b = spark.range(3).toDF("x"), spark.range(100_002).toDF("y")
+    assert lo.outer(a, b, lambda x, y: x * y, "x", "y").agg(F.sum("v")).first()[0] == 3 * sum(range(100_002))
+
+
+def test_programs_of_many_rounds_on_no_rows(spark):
+    empty = spark.createDataFrame([], "x double, y double")
+    assert al.kmeans(empty, ["x", "y"], [[1.0, 2.0]], 5) == [[1.0, 2.0]] and al.logistic_regression(empty, ["x"], "y", [0.5], 5) == [0.5]
+    one = spark.createDataFrame([(1.0, 1.0), (None, 1.0)], "x double, y double")
+    assert al.kmeans(one, ["x", "y"], [[0.0, 0.0], [9.0, 9.0]], 5) == [[1.0, 1.0], [9.0, 9.0]]

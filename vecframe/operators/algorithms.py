@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +85,45 @@ def kmeans_step(df: DataFrame, columns: list[str], means: list[list[float]]) ->
     return df.withColumn("code", nearest(columns, means)).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
+def _partition_sums(df: DataFrame, columns: list[str], sums) -> np.ndarray:
+    """sums(matrix of a batch's rows) added up: each partition adds its own, and of each one short row comes to the driver.
+
+    The plan is the same in every round, so that nothing is compiled anew.
+    """
+    d = len(columns)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)]).astype(float)
+                total = sums(x) if total is None else total + sums(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r["s"] for r in df.select(*columns).mapInArrow(part, "s array<double>").collect()], axis=0)
+
+
 def kmeans(df: DataFrame, columns: list[str], means: list[list[float]], rounds: int) -> list[list[float]]:
-    """So many rounds over a cached table: the means are literals, so that plans don't grow.  Empty clusters keep their mean.
+    """So many rounds over a cached table.  Empty clusters keep their mean; a row with an NA is in none.
 
     Ends early when nothing moves, as all later rounds would change nothing either.
     """
-    df = df.select(*columns).cache()
+    df = df.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).cache()
+    k, d = len(means), len(columns)
     try:
         for _ in range(rounds):
-            found = {r["code"]: [r[c] for c in columns] for r in kmeans_step(df, columns, means).collect()}
-            new = [found.get(k, m) for k, m in enumerate(means)]
+            centres = np.array(means, float)
+
+            def sums(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+                code = ((x[:, None, :] - centres) ** 2).sum(2).argmin(1)
+                return np.column_stack([np.bincount(code, minlength=k), *[np.bincount(code, x[:, j], k) for j in range(d)]])
+
+            found = _partition_sums(df, columns, sums)
+            if not found.shape:  # no rows at all
+                return means
+            found = found.reshape(k, d + 1)
+            new = [(found[i, 1:] / found[i, 0]).tolist() if found[i, 0] else list(means[i]) for i in range(k)]
             if new == means:
                 break
             means = new
@@ -111,12 +142,19 @@ def logistic_gradient(df: DataFrame, columns: list[str], label: str, w: list[flo
 
 
 def logistic_regression(df: DataFrame, columns: list[str], label: str, w: list[float], rounds: int, step: float = 0.07) -> list[float]:
-    """Gradient descent over a cached table."""
-    df = df.select(*columns, label).cache()
+    """Gradient descent over a cached table.  Rows with an NA are left out."""
+    df = df.select(*columns, label).where(" and ".join(f"`{c}` is not null" for c in [*columns, label])).cache()
     try:
         for _ in range(rounds):
-            g = logistic_gradient(df, columns, label, w).first()
-            w = [a - step * b for a, b in zip(w, g, strict=True)]
+
+            def sums(x: np.ndarray, w: np.ndarray = np.array(w, float)) -> np.ndarray:  # noqa: B008  this round's weights
+                diff = 1 / (1 + np.exp(-(x[:, :-1] @ w))) - x[:, -1]
+                return np.append(x[:, :-1].T @ diff, len(x))
+
+            found = _partition_sums(df, [*columns, label], sums)
+            if not found.shape:  # no rows at all
+                return w
+            w = [a - step * b for a, b in zip(w, (found[:-1] / found[-1]).tolist(), strict=True)]
         return w
     finally:
         df.unpersist()

@@ -13,12 +13,29 @@ from .folds import Fold
 
 #: Name of the position column (from 0), added only by operators that need it.
 POSITION = "_i"
-#: Ranges of the order that global scans and positions are computed in side by side.
-RANGES = 64
+#: Ranges of the order that global scans and positions are computed in side by side, at most: their bounds are in the plan.
+MOST_RANGES = 4096
 #: A looked-up vector of at most so many rows is broadcast.
 SMALL = 100_000
 
 
+def place(key: Column, bounds: list[Column]) -> Column:
+    """How many of the ascending bounds are less than key: a tree of comparisons, and below it, where there are many, short lists.  0 for NA."""
+
+    def tree(low: int, high: int, some: list[Column]) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(some[middle] < key, tree(middle + 1, high, some)).otherwise(tree(low, middle, some))
+
+    if len(bounds) < 64:
+        return tree(0, len(bounds), bounds)
+    step = int(len(bounds) ** 0.5)
+    coarse = tree(0, len(bounds) // step, bounds[step - 1 :: step])
+    lists = F.array(*[F.array(*bounds[k : k + step]) for k in range(0, len(bounds), step)], F.array(bounds[-1]))
+    return F.when(key.isNull(), 0).otherwise(coarse * step + F.size(F.filter(F.element_at(lists, coarse + 1), lambda b: b < key)) - F.when(coarse * step >= len(bounds), 1).otherwise(0))
+
+
 class Frame:
     """A table as vectors.  order: the columns that define position, a unique key in ascending order."""
 
@@ -57,18 +74,25 @@ class Frame:
 
     # -- positions
     def _ranged(self) -> tuple[DataFrame, str]:
-        """The frame with its range number: RANGES consecutive stretches of the order, about equally long."""
+        """The frame with its range number: consecutive stretches of the order, about equally long, as many as the session's
+        shuffle has partitions.  The bounds are literals, so that every pass over the frame cuts it in the same way."""
         if not self.order:
             raise ValueError("position needs a declared order")
-        first = self.df.schema[self.order[0]].dataType
-        key = F.col(f"`{self.order[0]}`")
-        if isinstance(first, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            key = F.unix_micros(key.cast("timestamp"))
-        elif not isinstance(first, T.NumericType):
-            return self.df.withColumn("_range", F.lit(0)), "_range"
-        bounds = self.df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-        bounds = sorted(set(bounds))
-        at = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key))
+        ranges = min(MOST_RANGES, max(2, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        keys = []
+        for name in self.order:
+            key, kind = F.col(f"`{name}`"), self.df.schema[name].dataType
+            keys.append(F.unix_micros(key.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else key)
+        if len(keys) == 1 and (isinstance(self.df.schema[self.order[0]].dataType, (T.IntegralType, T.FractionalType, T.DatetimeType, T.TimestampNTZType))):
+            bounds = self.df.agg(F.percentile_approx(keys[0], [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+            at = place(keys[0], [F.lit(b) for b in sorted(set(bounds))])
+        else:  # orders of any type and of several columns: the greatest key of each partition of a range partitioning
+            named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+            dealt = self.df.select(*named).repartitionByRange(ranges, *[f"k{i}" for i in range(len(keys))])
+            most = dealt.groupBy(F.spark_partition_id().alias("_p")).agg(F.max(F.struct(*[f"k{i}" for i in range(len(keys))])).alias("k"))
+            types = [f.dataType for f in dealt.schema.fields]
+            found = [r["k"] for r in most.orderBy("k").collect()][:-1]  # a row for each partition
+            at = place(F.struct(*named), [F.struct(*[F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(r, types, strict=True))]) for r in dict.fromkeys(found)])
         return self.df.withColumn("_range", at), "_range"
 
     def _in_range(self, partition: list[str] | None = None) -> Window:
@@ -126,7 +150,11 @@ class Frame:
         return Frame(me.df.join(gone, POSITION, "left_anti").drop(POSITION), self.order)
 
     def slice(self, first: int, last: int) -> Frame:
-        """Elements first to last, both included."""
+        """Elements first to last, both included.  Near the beginning no position is counted: the first ones are enough."""
+        if not self.order:
+            raise ValueError("position needs a declared order")
+        if last <= SMALL:
+            return Frame(self.df.orderBy(*self.order).offset(max(first - 1, 0)).limit(max(last - max(first, 1) + 1, 0)), self.order)
         return Frame(self.index().df.where(F.col(POSITION).between(first - 1, last - 1)).drop(POSITION), self.order)
 
     def assign(self, name: str, mask: Vec, value: Any) -> Frame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, kind_of, meet
-from .frame import Frame
+from .frame import SMALL, Frame
 
 
 def match(x: DataFrame, name: str, table: Frame, key: str, out: str = "match", nomatch: int | None = None) -> DataFrame:
@@ -25,8 +25,12 @@ def match(x: DataFrame, name: str, table: Frame, key: str, out: str = "match", n
 
 
 def outer(rows: DataFrame, columns: DataFrame, fun: Callable[..., Column], x: str, y: str, out: str = "v") -> DataFrame:
-    """fun of each pair.  columns is the short side: a matrix's second dimension, which goes to every task."""
-    return rows.join(F.broadcast(columns)).withColumn(out, fun(F.col(x), F.col(y)))
+    """fun of each pair.  columns is the short side: a matrix's second dimension.
+
+    Up to SMALL rows go to every task; beyond that, blocks of both sides meet.
+    """
+    few = columns.limit(SMALL + 1).count() <= SMALL
+    return (rows.join(F.broadcast(columns)) if few else rows.crossJoin(columns)).withColumn(out, fun(F.col(x), F.col(y)))
 
 
 def c(*parts: tuple[DataFrame, str], out: str = "x") -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import Vec
 
-#: Aggregates of one pass: more would make generated code too long to compile.
-BATCH = 200
 #: Rows of a block of tall_qr, about: a block is in memory at once, and each sends one small R to the driver.
 BLOCK_ROWS = 65_536
 
@@ -84,17 +82,35 @@ def from_vector(df: DataFrame, position: str, x: str, rows: int) -> DataFrame:
     return df.select((F.col(position) % rows + 1).alias("i"), (F.floor(F.col(position) / rows) + 1).alias("j"), F.col(x).cast("double").alias("v"))
 
 
-def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Covariance matrix of a wide matrix, in as few passes as code size allows."""
-    d = len(columns)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+def centred(df: DataFrame, cells: Column, d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means, and sums of products of deviations from them, of rows whose cells are an array of d numbers.
+
+    Two passes: the means, then each partition sums its own products and the sums, d rows of d + 1, are added up.
+    Rows with an NA in them are left out.
+    """
+    rows = df.select(F.transform(cells, lambda x: x.cast("double")).alias("x")).where(F.size("x") == d).where(F.forall("x", lambda x: x.isNotNull()))
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.element_at("x", k + 1)).alias(f"m{k}") for k in range(d)]).first()
+    n, mean = first["n"], np.array([first[f"m{k}"] or 0.0 for k in range(d)])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((d, d)), False
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, d) - mean
+            total += x.T @ x
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "g"])
+
     out = np.zeros((d, d))
-    for begin in range(0, len(pairs), BATCH):
-        part = pairs[begin : begin + BATCH]
-        row = df.agg(*[F.covar_samp(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"c{k}") for k, (i, j) in enumerate(part)]).first()
-        for k, (i, j) in enumerate(part):
-            out[i, j] = out[j, i] = np.nan if row[k] is None else row[k]
-    return out
+    for r in rows.mapInArrow(part, "i int, g array<double>").groupBy("i").agg(*[F.sum(F.element_at("g", k + 1)).alias(f"g{k}") for k in range(d)]).collect():  # d rows
+        out[r["i"]] = [r[f"g{k}"] for k in range(d)]
+    return n, mean, out
+
+
+def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Covariance matrix of a wide matrix, in two passes however many columns it has; NaN for fewer than two rows."""
+    n, _, g = centred(df, F.array(*[F.col(c).cast("double") for c in columns]), len(columns))
+    return g / (n - 1) if n > 1 else np.full_like(g, np.nan)
 
 
 def covariance_long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,17 +144,6 @@ def qr(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, r
 
 
-def tall_r(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """R of a tall wide matrix: Cholesky of its Gram matrix, which one pass sums."""
-    d = len(columns)
-    row = df.agg(*[F.sum(F.col(columns[i]).cast("double") * F.col(columns[j]).cast("double")).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"]
-    return np.linalg.cholesky(g).T
-
-
 def tall_qr(df: DataFrame, row: str, cells: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, np.ndarray]:
     """Householder decomposition of all rows of a tall matrix (a row name and an array a row): long thin Q, and R.
 

@@ -90,13 +90,29 @@ def subset_gather_na_zero(spark, d):
     return events(spark, d).gather(asked, "at", ["value"]).select("k", "value")
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) WHERE pos NOT IN (1, 3, 99) AND pos NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) WHERE pos NOT IN (SELECT o_custkey FROM orders)")
 def subset_exclude(spark, d):
     gone = frame(spark, d, "orders").df.select("o_custkey")
-    f = events(spark, d).index()
-    few = Frame(f.df.where(~F.col(POSITION).isin(0, 2, 98)), f.order)
-    left = few.df.join(gone.select((F.col("o_custkey") - 1).alias(POSITION)).distinct(), POSITION, "left_anti")
-    return left.select("event_id")
+    return _keep(events(spark, d).exclude(gone, "o_custkey"), "event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) WHERE pos NOT IN (1, 3, 99, 100000000)")
+def subset_exclude_few(spark, d):
+    return _keep(events(spark, d).exclude([1, 3, 99, 100_000_000]), "event_id")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_name) - 1 AS i FROM customer")
+def frame_index_text(spark, d):
+    """An order of two columns of texts."""
+    return frame(spark, d, "customer", ["c_mktsegment", "c_name"]).index().df.select("c_custkey", F.col(POSITION).alias("i"))
+
+
+@query("SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS pos FROM events) WHERE pos > (SELECT count(*) FROM events) - 5")
+def subset_slice_end(spark, d):
+    f = events(spark, d)
+    n = f.df.count()
+    i = f.index().df.where(F.col(POSITION) >= n - 5)
+    return i.select("event_id", "value")
 
 
 @query("SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM events) WHERE pos BETWEEN 11 AND 40")
@@ -196,6 +212,15 @@ def gen_runif_hash(spark, d):
     return _gen(g.runif(spark, 1000, 2.0, 5.0, seed=3))
 
 
+@query("SELECT 1000::BIGINT AS n, true AS inside, 1000::BIGINT AS kinds, true AS centred, true AS again")
+def gen_runif_moments(spark, d):
+    """What a uniform sample must show: size, bounds, distinct draws, a mean within five standard errors; and equal draws for equal seeds."""
+    one, two = (g.runif(spark, 1000, 2.0, 5.0, seed=3).df for _ in range(2))
+    same = one.join(two.withColumnRenamed("x", "y"), POSITION)
+    x = F.col("x")
+    return same.agg(F.count(F.lit(1)).alias("n"), F.bool_and((x >= 2) & (x < 5)).alias("inside"), F.count_distinct("x").alias("kinds"), (F.abs(F.avg("x") - 3.5) < 5 * 0.866 / 31.6).alias("centred"), F.bool_and(x == F.col("y")).alias("again"))
+
+
 # -- lookups
 @query("SELECT o_orderkey, min(pos) AS match FROM orders LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) ON user_id = o_custkey GROUP BY o_orderkey")
 def match_first(spark, d):
@@ -225,10 +250,10 @@ def concat_c_meet(spark, d):
     return lo.c((frame(spark, d, "region").df, "r_regionkey"), (frame(spark, d, "supplier").df, "s_acctbal"))
 
 
-@query("SELECT vec_id, (i - 1)::INTEGER AS place, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+@query("SELECT vec_id, (i - 1)::INTEGER AS place, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
 def concat_unlist(spark, d):
     df = frame(spark, d, "embeddings").df
-    return lo.unlist(df.select("vec_id", F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2)).alias("a")), "a", ["vec_id"])
+    return lo.unlist(df.select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("a")), "a", ["vec_id"])
 
 
 @query("SELECT i, event_id, c_custkey FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, event_id FROM events) FULL JOIN (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey FROM customer) USING (i)")
@@ -256,14 +281,14 @@ def paste_collapse(spark, d):
     return lo.paste_collapse(events(spark, d), "event_type", ["user_id"], "|", "p")
 
 
-# -- matrices: the first columns of embeddings, row i = vec_id + 1
-WIDE = [f"x{k}" for k in range(1, 5)]
-_LONG = "SELECT vec_id + 1 AS i, j, round(embedding[j]::DOUBLE, 6) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS j FROM embeddings)"
+# -- matrices: the 64 columns of embeddings, row i = vec_id + 1
+WIDE = [f"x{k}" for k in range(1, 65)]
+_LONG = "SELECT vec_id + 1 AS i, j, round(embedding[j]::DOUBLE, 6) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS j FROM embeddings)"
 
 
 def wide(spark, d):
     df = frame(spark, d, "embeddings").df
-    return df.select((F.col("vec_id") + 1).alias("i"), *[F.round(F.element_at("embedding", k).cast("double"), 6).alias(f"x{k}") for k in range(1, 5)])
+    return df.select((F.col("vec_id") + 1).alias("i"), *[F.round(F.element_at("embedding", k).cast("double"), 6).alias(f"x{k}") for k in range(1, 65)])
 
 
 def long(spark, d):
@@ -299,10 +324,10 @@ def mat_inner(spark, d):
 
 @query(f"SELECT i, round(sum(v * j), 6) AS v FROM ({_LONG}) GROUP BY i")
 def mat_vec(spark, d):
-    return wide(spark, d).select("i", F.round(m.mat_vec(WIDE, [1.0, 2.0, 3.0, 4.0]), 6).alias("v"))
+    return wide(spark, d).select("i", F.round(m.mat_vec(WIDE, [float(k) for k in range(1, 65)]), 6).alias("v"))
 
 
-@query(f"WITH a AS ({_LONG}) SELECT round(sum(v * i) FILTER (j = 1), 4) AS x1, round(sum(v * i) FILTER (j = 2), 4) AS x2, round(sum(v * i) FILTER (j = 3), 4) AS x3, round(sum(v * i) FILTER (j = 4), 4) AS x4 FROM a")
+@query(f"WITH a AS ({_LONG}) SELECT " + ", ".join(f"round(sum(v * i) FILTER (j = {k}), 4) AS x{k}" for k in range(1, 65)) + " FROM a")
 def vec_mat(spark, d):
     out = m.vec_mat(wide(spark, d), "i", WIDE)
     return out.select(*[F.round(c, 4).alias(c) for c in WIDE])

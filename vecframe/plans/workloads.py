@@ -12,6 +12,7 @@ from ..operators import folds as fo
 from ..operators import generators as g
 from ..operators import matrix as m
 from ..operators.frame import POSITION
+from .positional import _LONG as LONG_SQL
 from .positional import WIDE, wide
 from .registry import frame, query
 
@@ -111,7 +112,11 @@ def sample_inv_cdf(spark, d):
     return f.select("event_id", z=v.round_(al.inverse_normal(p), 6))
 
 
-@query()
+@query(
+    "WITH RECURSIVE c AS (SELECT i AS cell, -2 + (i % 64) * (3.0::DOUBLE / 64) AS re, -1 + (i // 64) * (2.0::DOUBLE / 48) AS im FROM range(64 * 48) t(i)), "
+    "z AS (SELECT cell, re, im, re AS a, im AS b, 0 AS n, 0 AS k FROM c UNION ALL SELECT cell, re, im, CASE WHEN a * a + b * b <= 4 THEN re + (a * a - b * b) ELSE a END, CASE WHEN a * a + b * b <= 4 THEN im + 2.0 * a * b ELSE b END, "
+    "n + (a * a + b * b <= 4)::INT, k + 1 FROM z WHERE k < 50) SELECT cell::BIGINT AS cell, n::BIGINT AS n FROM z WHERE k = 50"
+)
 def mandelbrot(spark, d):
     width, height = 64, 48
     f = g.seq(spark, 0, 1, width * height)
@@ -132,10 +137,18 @@ def kmeans_step(spark, d):
     return out.select("code", "n", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE r AS (SELECT 0 AS k, " + ", ".join(f"{float(x)!r}::DOUBLE AS {n}{j}" for j, m_ in enumerate(MEANS) for n, x in zip("qp", m_, strict=True)) + " UNION ALL SELECT k + 1, "
+    + ", ".join(f"coalesce(avg(x) FILTER (c = {j}), q{j}), coalesce(avg(y) FILTER (c = {j}), p{j})" for j in range(3))
+    + " FROM (SELECT r.*, l_quantity AS x, l_extendedprice AS y, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS c FROM r, lineitem, LATERAL (SELECT "
+    + ", ".join(f"(l_quantity - q{j}) * (l_quantity - q{j}) + (l_extendedprice - p{j}) * (l_extendedprice - p{j}) AS d{j}" for j in range(3))
+    + ")) r WHERE k < 100 GROUP BY k, " + ", ".join(f"q{j}, p{j}" for j in range(3)) + ") "
+    + " UNION ALL ".join(f"SELECT {j}::BIGINT AS code, round(q{j}, 4) AS l_quantity, round(p{j}, 2) AS l_extendedprice FROM r WHERE k = 100" for j in range(3))
+)
 def kmeans_100(spark, d):
     means = al.kmeans(frame(spark, d, "lineitem").df, ["l_quantity", "l_extendedprice"], MEANS, 100)
-    return spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(means)], "code bigint, l_quantity double, l_extendedprice double")
+    out = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(means)], "code bigint, l_quantity double, l_extendedprice double")
+    return out.select("code", F.round("l_quantity", 4).alias("l_quantity"), F.round("l_extendedprice", 2).alias("l_extendedprice"))
 
 
 FEATURES = ["one", "quantity", "discount", "tax"]
@@ -152,10 +165,16 @@ def logreg_gradient(spark, d):
     return out.select(*[F.round(c, 9).alias(c) for c in FEATURES])
 
 
-@query()
+@query(
+    "WITH RECURSIVE t AS (" + _FEATURES_SQL + "), r AS (SELECT 0 AS k, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3 UNION ALL SELECT k + 1, "
+    + ", ".join(f"w{j} - 0.07 * avg({c} * e)" for j, c in enumerate(FEATURES))
+    + " FROM (SELECT r.*, t.*, 1 / (1 + exp(-(" + " + ".join(f"w{j} * {c}" for j, c in enumerate(FEATURES)) + "))) - y AS e FROM r, t) WHERE k < 100 GROUP BY k, w0, w1, w2, w3) SELECT "
+    + ", ".join(f"round(w{j}, 8) AS {c}" for j, c in enumerate(FEATURES)) + " FROM r WHERE k = 100"
+)
 def logreg_100(spark, d):
     w = al.logistic_regression(_labelled(spark, d), FEATURES, "y", [0.0] * 4, 100)
-    return spark.createDataFrame([tuple(w)], ", ".join(f"{c} double" for c in FEATURES))
+    out = spark.createDataFrame([tuple(w)], ", ".join(f"{c} double" for c in FEATURES))
+    return out.select(*[F.round(c, 8).alias(c) for c in FEATURES])
 
 
 @query(
@@ -174,24 +193,46 @@ def pca_eigen(spark, d):
     return spark.createDataFrame([(k, float(x), [float(y) for y in vectors[:, k]]) for k, x in enumerate(values)], "k bigint, value double, vector array<double>")
 
 
+@query(f"SELECT round(sum(v), 6) AS trace, true AS ascending FROM (SELECT var_samp(v) AS v FROM ({LONG_SQL}) GROUP BY j)")
+def pca_trace(spark, d):
+    """The eigenvalues of all 64 dimensions add up to the variances."""
+    values, _ = al.pca(wide(spark, d), WIDE)
+    return spark.createDataFrame([(round(float(values.sum()), 6), bool((np.diff(values) >= 0).all()))], "trace double, ascending boolean")
+
+
+def _cells(spark, d):
+    cells = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return frame(spark, d, "embeddings").df.select((F.col("vec_id") + 1).alias("i"), cells.alias("cells"))
+
+
 @query()
 def qr(spark, d):
-    r = m.tall_r(wide(spark, d), WIDE)
-    return spark.createDataFrame([(i + 1, j + 1, float(r[i, j])) for i in range(4) for j in range(4)], "i bigint, j bigint, v double")
+    """R of all rows and dimensions of embeddings."""
+    _, r = m.tall_qr(_cells(spark, d), "i", "cells")
+    return spark.createDataFrame([(i + 1, j + 1, float(x)) for (i, j), x in np.ndenumerate(r)], "i bigint, j bigint, v double")
+
+
+@query(f"WITH a AS ({LONG_SQL}) SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 4) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY ALL")
+def qr_gram(spark, d):
+    """R'R, which is the matrix's own product with itself."""
+    _, r = m.tall_qr(_cells(spark, d), "i", "cells")
+    return spark.createDataFrame([(i + 1, j + 1, round(float(x), 4)) for (i, j), x in np.ndenumerate(r.T @ r)], "i bigint, j bigint, v double")
 
 
 @query()
 def qr_householder(spark, d):
     """All rows and dimensions of embeddings: q has the elements of Q (row i = vec_id + 1), r those of R; the other one is null."""
-    df = frame(spark, d, "embeddings").df
-    cells = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
-    q, r = m.tall_qr(df.select((F.col("vec_id") + 1).alias("i"), cells.alias("cells")), "i", "cells")
+    q, r = m.tall_qr(_cells(spark, d), "i", "cells")
     factor = spark.createDataFrame([(i + 1, j + 1, None, float(x)) for (i, j), x in np.ndenumerate(r)], "i bigint, j bigint, q double, r double")
     return q.select("i", "j", F.col("v").alias("q"), F.lit(None).cast("double").alias("r")).unionByName(factor)
 
 
-@query()
+@query(
+    "WITH RECURSIVE o AS (SELECT i AS option, 100.0::DOUBLE + i AS s, exp(0.3 * sqrt(2.0::DOUBLE / 64)) AS u, exp(0.02 * 2.0::DOUBLE / 64) AS disc FROM range(5) t(i)), p AS (SELECT *, (disc - 1 / u) / (u - 1 / u) AS up FROM o), "
+    "b AS (SELECT option, up, disc, 63 AS k, list_transform(range(64), lambda j: greatest(0.0::DOUBLE, 98.0 - s * pow(u, (2 * j - 64)::DOUBLE))) AS v FROM p UNION ALL "
+    "SELECT option, up, disc, k - 1, list_transform(range(1, k + 1), lambda j: ((1 - up) * v[j] + up * v[j + 1]) / disc) FROM b WHERE k > 0) SELECT option::BIGINT AS option, round(v[1], 8) AS price FROM b WHERE k = 0"
+)
 def binomial_put(spark, d):
     f = g.seq(spark, 0, 1, 5)
     put = al.binomial_put(F.lit(100.0) + F.col("x"), F.lit(98.0), F.lit(2.0), F.lit(0.02), F.lit(0.3), 64)
-    return f.df.select(F.col(POSITION).alias("option"), put.alias("price"))
+    return f.df.select(F.col(POSITION).alias("option"), F.round(put, 8).alias("price"))
