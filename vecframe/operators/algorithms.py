@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,23 +85,34 @@ def kmeans_step(df: DataFrame, columns: list[str], means: list[list[float]]) ->
     return df.withColumn("code", nearest(columns, means)).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
-def _partition_sums(df: DataFrame, columns: list[str], sums) -> np.ndarray:
-    """sums(matrix of a batch's rows) added up: each partition adds its own, and of each one short row comes to the driver.
-
-    The plan is the same in every round, so that nothing is compiled anew.
-    """
+def _blocks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without NA as blocks (cells: doubles, row by row), cached: many rounds read them without taking rows apart again."""
     d = len(columns)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)]).astype("f8") if batch.num_rows else np.zeros((0, d))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["cells"])
+
+    return df.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).mapInArrow(pack, "cells binary").cache()
+
+
+def _block_sums(blocks: DataFrame, d: int, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """sums(matrix of a block's rows) added up, or None without rows: each partition adds its own, and of each one short row
+    comes to the driver.  The plan is the same in every round, so that nothing is compiled anew."""
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if batch.num_rows:
-                x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)]).astype(float)
-                total = sums(x) if total is None else total + sums(x)
+            for cells in batch.column("cells").to_pylist():
+                if cells:
+                    found = sums(np.frombuffer(cells).reshape(-1, d))
+                    total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], names=["s"])
 
-    return np.sum([r["s"] for r in df.select(*columns).mapInArrow(part, "s array<double>").collect()], axis=0)
+    rows = blocks.mapInArrow(part, "s array<double>").collect()
+    return np.sum([r["s"] for r in rows], axis=0) if rows else None
 
 
 def kmeans(df: DataFrame, columns: list[str], means: list[list[float]], rounds: int) -> list[list[float]]:
@@ -109,8 +120,7 @@ def kmeans(df: DataFrame, columns: list[str], means: list[list[float]], rounds:
 
     Ends early when nothing moves, as all later rounds would change nothing either.
     """
-    df = df.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).cache()
-    k, d = len(means), len(columns)
+    blocks, k, d = _blocks(df, columns), len(means), len(columns)
     try:
         for _ in range(rounds):
             centres = np.array(means, float)
@@ -119,8 +129,8 @@ def kmeans(df: DataFrame, columns: list[str], means: list[list[float]], rounds:
                 code = ((x[:, None, :] - centres) ** 2).sum(2).argmin(1)
                 return np.column_stack([np.bincount(code, minlength=k), *[np.bincount(code, x[:, j], k) for j in range(d)]])
 
-            found = _partition_sums(df, columns, sums)
-            if not found.shape:  # no rows at all
+            found = _block_sums(blocks, d, sums)
+            if found is None:
                 return means
             found = found.reshape(k, d + 1)
             new = [(found[i, 1:] / found[i, 0]).tolist() if found[i, 0] else list(means[i]) for i in range(k)]
@@ -129,7 +139,7 @@ def kmeans(df: DataFrame, columns: list[str], means: list[list[float]], rounds:
             means = new
         return means
     finally:
-        df.unpersist()
+        blocks.unpersist()
 
 
 def logistic_gradient(df: DataFrame, columns: list[str], label: str, w: list[float]) -> DataFrame:
@@ -143,7 +153,7 @@ def logistic_gradient(df: DataFrame, columns: list[str], label: str, w: list[flo
 
 def logistic_regression(df: DataFrame, columns: list[str], label: str, w: list[float], rounds: int, step: float = 0.07) -> list[float]:
     """Gradient descent over a cached table.  Rows with an NA are left out."""
-    df = df.select(*columns, label).where(" and ".join(f"`{c}` is not null" for c in [*columns, label])).cache()
+    blocks = _blocks(df, [*columns, label])
     try:
         for _ in range(rounds):
 
@@ -151,13 +161,13 @@ def logistic_regression(df: DataFrame, columns: list[str], label: str, w: list[f
                 diff = 1 / (1 + np.exp(-(x[:, :-1] @ w))) - x[:, -1]
                 return np.append(x[:, :-1].T @ diff, len(x))
 
-            found = _partition_sums(df, [*columns, label], sums)
-            if not found.shape:  # no rows at all
+            found = _block_sums(blocks, len(columns) + 1, sums)
+            if found is None:
                 return w
             w = [a - step * b for a, b in zip(w, (found[:-1] / found[-1]).tolist(), strict=True)]
         return w
     finally:
-        df.unpersist()
+        blocks.unpersist()
 
 
 def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
