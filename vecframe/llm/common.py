@@ -66,10 +66,19 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query as soon as it ends, not when the driver happens to collect its garbage.
+CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = stage_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write a table in the shared folder and read it again: lineage ends there, lost executors cost nothing, and what was shuffled for it goes."""
+    path, conf = stage_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANS, None)
+    conf.set(CLEANS, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)  # a frame keeps the mode it was made in
+    finally:
+        conf.unset(CLEANS) if before is None else conf.set(CLEANS, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

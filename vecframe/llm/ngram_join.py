@@ -3,7 +3,8 @@
 Equal n-gram sets are one class.  A first pass finds blocks: sets of similar size are cut by hash into so many parts that
 any two similar enough must agree in most of at least one part (pigeonhole), and sets that agree so are in one block, as
 are those that are linked so through others.  Every link therefore lies within a block, and blocks are about as small as
-the groups of near copies themselves.  In a block the sets, in one order of n-grams, are stored in a prefix tree: its
+the groups of near copies themselves.  N-grams that very many sets have (a line that opens thousands of texts) would chain sets that have
+little else in common, the more of them the larger the table: parts are made of the others, where a set has enough of those.  In a block the sets, in one order of n-grams, are stored in a prefix tree: its
 shared beginnings share their partial overlaps with all sets that are looked up, and a branch is left as soon as the
 overlap can't reach the bound with what remains, or all that is below belongs to the component of the asking set.
 Blocks of more than BLOCK_SETS sets are cut into portions that different tasks join.
@@ -18,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ BLOCK_SETS, BLOCK_GRAMS = 250, 200_000
 RUN_PARTS = 1_000_000
 #: One part in so many is spare; ways of dealing out sets that leave too many places empty.
 SPARE_PARTS, DEALS = 12, 6
+#: The first ways of dealing leave out common n-grams: those that one in COMMON_SHARE sets has, as about COMMON_SETS sets
+#: of all kinds show, and no more of them than COMMON_MOST.  They say which keys tell little, and never decide on a link.
+COMMON_DEALS, COMMON_SHARE, COMMON_SETS, COMMON_MOST = 3, 1000, 10_000, 100_000
 #: Differences in a part, and places of a part, of each turn.
 TURNS = ((1, 4), (2, 6))
 #: Ranges of keys that meet on their own: at least so many, so that small and large tables repeat edges alike, and no more
@@ -96,7 +101,7 @@ class Bound:
         return -((-self.p * (a + b)) // (100 + self.p))
 
 
-def part_hashes(grams: np.ndarray, bound: Bound, turn: int = 0) -> np.ndarray:
+def part_hashes(grams: np.ndarray, bound: Bound, turn: int = 0, common: np.ndarray | None = None) -> np.ndarray:
     """Keys of the set, for its own band and the next: any two sets that link have one in common.
 
     Hashing deals the n-grams out to places, some to a part.  There are so many parts that in one of them a pair that links
@@ -104,20 +109,28 @@ def part_hashes(grams: np.ndarray, bound: Bound, turn: int = 0) -> np.ndarray:
     leave out.  Keys of empty places say nothing and are left out.  SPARE_PARTS more parts make up for that, unless both
     sets of a pair have more parts with such keys than those; such sets are dealt out anew, in up to DEALS ways.  Each
     turn deals independently, and later turns allow for more differences in larger parts: more keys, of more n-grams.
+
+    common: sorted n-grams that the first COMMON_DEALS ways leave out.  Without them no two sets differ in more n-grams than
+    with them, so that the argument holds as it does for whole sets; sets of which too little is left are dealt out whole.
     """
     slack, places = TURNS[turn]
     leave = np.array(list(combinations(range(places), slack)))
     out = []
-    k = bound.band(len(grams))
+    whole, rare = grams, grams
+    if common is not None and len(common):
+        at = np.searchsorted(common, grams)
+        rare = grams[common[np.minimum(at, len(common) - 1)] != grams]
+    k = bound.band(len(whole))
     for band in (k, k + 1):
         most = bound.differences(band)
         if not most:
-            out.append(mix(mix(grams).sum(dtype="u8", keepdims=True) + np.uint64(band)))
+            out.append(mix(mix(whole).sum(dtype="u8", keepdims=True) + np.uint64(band)))
             continue
         needed = most // (slack + 1) + 1
         spare = needed // SPARE_PARTS
         m = needed + spare
         for deal in range(DEALS):
+            grams = rare if deal < COMMON_DEALS else whole
             seed = np.uint64((turn * 4096 + band) * 64 + deal)
             place = ((mix(grams ^ mix(np.full(1, seed + np.uint64(1)))) >> np.uint64(32)) * np.uint64(places * m) >> np.uint64(32)).astype("i8")
             filled = np.bincount(place, minlength=places * m).reshape(m, places)
@@ -274,6 +287,22 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, node long, n_shingles long, digest binary")
 
 
+def _common(rows: DataFrame, n: int, sets: int) -> np.ndarray:
+    """Sorted n-grams that one in COMMON_SHARE of a table's sets has, by the sets whose text's hash picks them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for whole in batches for batch in slices(whole, "text") for x in shingles(_bytes(batch), n)]
+        gram, many = np.unique(np.concatenate([*held, np.zeros(0, "u8")]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view("i8")), pa.array(many.astype("i8"))], names=["gram", "many"])
+
+    every = max(1, sets // COMMON_SETS)
+    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(0)), F.lit(every)) == 0).select("text")
+    least = max(COMMON_SETS // COMMON_SHARE, 1)
+    found = picked.mapInArrow(work, "gram long, many long").groupBy("gram").agg(F.sum("many").alias("many")).where(F.col("many") >= least)
+    got = found.orderBy(F.desc("many"), "gram").limit(COMMON_MOST).toArrow()  # COMMON_MOST rows at most
+    return np.sort(got.column("gram").to_numpy().view("u8"))
+
+
 def _stars(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct parts in order with the least document of each, and edges (packed in rows) of the others to it."""
     order = np.lexsort((doc, part))
@@ -289,7 +318,7 @@ _RUN = "bucket int, n long, parts binary, docs binary"
 _RUN_TYPES = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("parts", pa.binary()), ("docs", pa.binary())])
 
 
-def _near(docs: DataFrame, n: int, bound: Bound, buckets: int, turn: int = 0) -> DataFrame:
+def _near(docs: DataFrame, n: int, bound: Bound, buckets: int, turn: int = 0, common: Broadcast | None = None) -> DataFrame:
     """Edges (a, b) of (node, text, block), from the least node of a block that has a key to the others.
 
     Tasks combine first: of a part that several of a task's sets have only the least travels on, the others become
@@ -323,7 +352,7 @@ def _near(docs: DataFrame, n: int, bound: Bound, buckets: int, turn: int = 0) ->
             for batch in slices(whole, "text"):
                 for doc, block, grams in zip(batch.column("node").to_pylist(), batch.column("block").to_pylist(), shingles(_bytes(batch), n), strict=True):
                     if len(grams):
-                        p = mix(part_hashes(grams, bound, turn) + mix(np.full(1, block, "i8").view("u8")))
+                        p = mix(part_hashes(grams, bound, turn, common and common.value) + mix(np.full(1, block, "i8").view("u8")))
                         parts.append(p)
                         ids.append(np.full(len(p), doc))
                         size += len(p)
@@ -467,15 +496,17 @@ def ngram_join(docs: DataFrame, n: int = 3, per_cent: int = 90, id_col: str = "d
     sets = stage(_sets(rows, n), "join-sets")
     classes = stage(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("own"), F.first("n_shingles").alias("n_shingles")), "join-classes")
     # About 8 keys for each n-gram in which sets of one size may differ, in buckets of about BUCKET_KEYS.
-    keys = 8 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - per_cent) // (100 + per_cent)
+    total = classes.agg(F.sum("n_shingles").alias("grams"), F.count(F.lit(1)).alias("sets")).first()
+    keys = 8 * (total["grams"] or 0) * (100 - per_cent) // (100 + per_cent)
+    common = spark.sparkContext.broadcast(_common(rows, n, total["sets"]))
     buckets = max(LEAST_BUCKETS, workers_of(spark), keys // BUCKET_KEYS)
-    blocks = stage(connected_components(_near(rows.withColumn("block", F.lit(0).cast("long")), n, bound, buckets)), "join-first")
+    blocks = stage(connected_components(_near(rows.withColumn("block", F.lit(0).cast("long")), n, bound, buckets, common=common)), "join-first")
     # Chains of chance agreements end where those of an independent second turn do: large blocks fall apart.
     large = stage(blocks.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root"), "join-large")
     if not large.isEmpty():
         marked = stage(_by_salt(blocks).join(_salted(large, "root", [F.lit(True).alias("large")]).hint("merge"), ["root", "salt"], "left").select("node", "root", "large"), "join-marked")
         again = rows.join(marked.where("large").select("node", F.col("root").alias("block")).hint("merge"), "node")
-        blocks = marked.where("large is null").select("node", "root").unionByName(connected_components(_near(again, n, bound, buckets, turn=1)))
+        blocks = marked.where("large is null").select("node", "root").unionByName(connected_components(_near(again, n, bound, buckets, turn=1, common=common)))
     # Of each class one set goes to its block's tasks.
     owners = classes.groupBy(F.col("own").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
     member = stage(blocks.join(owners.hint("merge"), "node"), "join-members")
