@@ -113,7 +113,8 @@ def map_atan2_hypot(spark, d):
 @query("SELECT event_id, floor(x) AS f, ceil(x) AS c, trunc(x) AS t FROM (SELECT event_id, " + EDGE + " AS x FROM events)")
 def map_floor_ceil_trunc(spark, d):
     f = edges(spark, d)
-    return f.select("event_id", f=v.floor(f["x"]) + 0.0, c=v.ceiling(f["x"]), t=v.trunc(f["x"]))
+    signed = lambda y: v.ifelse(y == 0, f["x"] * 0.0, y)  # noqa: E731  the algebra's zeros are positive, the SQL's have the sign of x
+    return f.select("event_id", f=signed(v.floor(f["x"])), c=signed(v.ceiling(f["x"])), t=signed(v.trunc(f["x"])))
 
 
 @query("SELECT event_id, round(value, 1) AS r1, round(value) AS r0, sign(value) * floor(abs(value) * pow(10, event_id % 3) + 0.5) / pow(10, event_id % 3) AS rd FROM events")
